@@ -1,10 +1,10 @@
-"""Queries over text and code: origin (p1), pieces (p2), containers (p6), mixtures (p7)."""
+"""Queries over text and code: origin (p1), pieces (p2), credentials (p3), containers (p6), mixtures (p7)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.llm import mixing, origin, packing, pieces
+from kelpie.llm import credentials, mixing, origin, packing, pieces
 from kelpie.llm.tokens import with_token_counts
 from kelpie.session import cut, table
 
@@ -33,6 +33,18 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.all_pieces(*_sized(spark, sf_dir))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.stored_texts(table(spark, sf_dir, "locate_hits"), table(spark, sf_dir, "prepared_docs"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.credentials_in(_stored(spark, sf_dir)).select("item_kind", "item_id", "line_no").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.redacted(_stored(spark, sf_dir))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = with_token_counts(table(spark, sf_dir, "documents"), "text", ["doc_id"])
     capacity, _ = pieces.limits(table(spark, sf_dir, "size_limits"), "container")
@@ -69,6 +81,8 @@ QUERIES = {
     "p1_origins": p1_origins,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
     "p6_found": p6_found,
     "p6_containers": p6_containers,
     "p7_found": p7_found,
