@@ -1,10 +1,10 @@
-"""Queries over text and code: origin (p1), pieces (p2), credentials (p3), containers (p6), mixtures (p7)."""
+"""Queries over text and code: origin (p1), pieces (p2), credentials (p3), containers (p6), mixtures (p7), subjects (p8)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.llm import credentials, mixing, origin, packing, pieces
+from kelpie.llm import credentials, mixing, origin, packing, pieces, subjects
 from kelpie.llm.tokens import with_token_counts
 from kelpie.session import cut, table
 
@@ -76,6 +76,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_shares(documents, targets, mixing.mixtures(documents, targets))
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.document_subjects(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p8_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.corpus_by_subject(_subjects(spark, sf_dir))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_origins": p1_origins,
@@ -88,5 +100,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_mixtures": p7_mixtures,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_corpus": p8_corpus,
 }
 SQL: dict[str, str] = {}
