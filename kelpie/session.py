@@ -50,6 +50,7 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data directory; the Parquet footer carries the schema, nothing is inferred."""
     ship(spark)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # every instant here is UTC
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
