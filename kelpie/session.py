@@ -54,14 +54,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and cut its lineage.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset, as in
-    tests on one machine, a temporary one is made. A lost executor then costs no recomputation.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests on one machine, a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="kelpie-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="kelpie-"))
+    return str(context.getCheckpointDir())
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared checkpoint folder and cut its lineage; a lost executor then costs no recomputation."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
