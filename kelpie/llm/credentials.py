@@ -166,6 +166,8 @@ def _private_key(text: str, m: re.Match) -> Iterator[list[tuple[int, int]]]:
     end = close.start() if close else re.compile(r"(?:(?:\\n|\s)*[A-Za-z0-9+/=]{16,})*…?").match(text, m.end()).end()
     body = re.sub(r"\\n|\\r|[\s#/*\"'`+>|\\]+", "", text[m.end() : end])
     body = re.sub(r"^(?:[A-Za-z\-]+:[^,]*,?)+", "", body) if ":" in body[:40] else body
+    if body.startswith("REDACTED"):
+        return
     if re.match(r"[A-Za-z0-9+/=]{16,}", body) or not close and len(body.strip("…")) == 0:
         yield [(m.start(), end)]
 
@@ -316,10 +318,9 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "REDACTED") -> s
     for start, end in sorted(spans):
         if start < at:
             continue
-        kept = re.sub(r"(?:(?!\\n)[^\n])+", mark, text[start:end])
-        if text[start:end].startswith("-----BEGIN"):
-            head = text.index("-----", start + 5) + 5
-            kept = text[start:head] + re.sub(r"(?:(?!\\n|\n).)+", mark, text[head:end])
+        head = text.index("-----", start + 5) + 5 if text.startswith("-----BEGIN", start) else start
+        parts = re.split(r"(\\n|\\r|\r?\n)", text[head:end])  # breaks, written out or escaped, stand at odd places
+        kept = text[start:head] + "".join(p if i % 2 or not p.strip() else mark for i, p in enumerate(parts))
         out += [text[at:start], kept]
         at = end
     return "".join([*out, text[at:]])
