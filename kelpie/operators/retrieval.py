@@ -17,52 +17,72 @@ def tokenised(df: DataFrame, id_column: str, texts: list[str]) -> DataFrame:
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
-    """(query_id, phrase, at, term, words, phrases) of queries (query_id, query).
+    """(query_id, phrase, phrases, words) of queries (query_id, query): each phrase's number, how many there are, its tokens.
 
     A query is split at white space, its words stripped of quotes and stops; each word is a phrase of
     the tokens in it. Words without tokens are dropped; a query without phrases has no row.
     """
     words = F.transform(F.split(F.trim(F.col("query")), r"\s+"), lambda w: F.btrim(w, F.lit("\"',.:;")))
     phrases = F.filter(F.transform(words, tokens), lambda p: F.size(p) > 0)
-    return (
-        queries.select("query_id", phrases.alias("_p"))
-        .select("query_id", F.size("_p").alias("phrases"), F.posexplode("_p").alias("phrase", "_terms"))
-        .select("query_id", "phrases", "phrase", F.size("_terms").alias("words"), F.posexplode("_terms").alias("at", "term"))
+    return queries.select("query_id", phrases.alias("_p")).select(
+        "query_id", F.size("_p").alias("phrases"), F.posexplode("_p").alias("phrase", "words")
     )
 
 
-def phrase_counts(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(query_id, phrase, phrases, id, length, f): how often each phrase stands in each document.
+def with_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """`docs` with `matches`: (query_id, phrase, phrases, f) of every phrase that stands in the document, f times.
 
-    Only tokens of some query are kept before the postings are spread. A phrase's words must follow
-    each other: they agree on where the phrase would start.
+    A document's tokens are all in its row, so phrases are counted there: the stated query set travels
+    to the documents as one array, and no posting is moved. A word that every document holds is no hot key.
     """
-    asked = phrases.select("term").distinct()
-    postings = docs.select("id", "length", F.posexplode("terms").alias("pos", "term"))
-    hits = postings.join(asked, "term", "left_semi").join(phrases, "term")
-    starts = hits.groupBy("query_id", "phrase", "phrases", "words", "id", "length", (F.col("pos") - F.col("at")).alias("start")).agg(
-        F.count_distinct("at").alias("matched")
-    )
-    whole = starts.where(F.col("matched") == F.col("words"))
-    return whole.groupBy("query_id", "phrase", "phrases", "id", "length").agg(F.count(F.lit(1)).alias("f"))
+    asked = phrases.agg(F.collect_list(F.struct("query_id", "phrase", "phrases", "words")).alias("_asked")).withColumn("_one", F.lit(1))
+
+    def count(p):
+        single = F.size("terms") - F.size(F.array_remove("terms", p["words"][0]))
+        starts = F.filter("terms", lambda t, i: (t == p["words"][0]) & (F.slice("terms", i + 1, F.size(p["words"])) == p["words"]))
+        f = F.when(F.size(p["words"]) == 1, single).otherwise(F.size(starts))
+        return F.struct(p["query_id"].alias("query_id"), p["phrase"].alias("phrase"), p["phrases"].alias("phrases"), f.alias("f"))
+
+    likely = F.filter("_asked", lambda p: F.array_contains("terms", p["words"][0]))
+    found = F.filter(F.transform(likely, count), lambda m: m["f"] > 0)
+    joined = docs.withColumn("_one", F.lit(1)).join(asked, "_one")
+    return joined.withColumn("matches", found).drop("_one", "_asked")
+
+
+def phrase_counts(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(id, length, query_id, phrase, phrases, f): how often each phrase stands in each document."""
+    return with_matches(docs, phrases).select("id", "length", F.inline("matches"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, bm25) of the documents that hold every phrase; smaller is better.
 
     k1 = 1.2, b = 0.75; an idf that isn't above 0 counts as 1e-6, so words of more than half of the
-    documents hardly count. `docs` comes from `tokenised`.
+    documents hardly count. `docs` comes from `tokenised`. Two passes: one for the counts of the corpus
+    and of each phrase, combined before the shuffle, one for the scores.
     """
-    counted = phrase_counts(docs, query_phrases(queries))
-    corpus = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length")).withColumn("_one", F.lit(1))
-    spread = counted.groupBy("query_id", "phrase").agg(F.count_distinct("id").alias("df"))
-    joined = counted.join(spread, ["query_id", "phrase"]).withColumn("_one", F.lit(1)).join(corpus, "_one")  # one row
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    floored = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
+    matched = with_matches(docs, query_phrases(queries))
+    everywhere = F.struct(F.lit(None).cast("long").alias("query_id"), F.lit(-1).alias("phrase"))
+    each = F.transform("matches", lambda m: F.struct(m["query_id"].cast("long").alias("query_id"), m["phrase"].alias("phrase")))
+    counts = (
+        matched.select("length", F.inline(F.concat(F.array(everywhere), each)))
+        .groupBy("query_id", "phrase")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("lengths"))
+    )
+    corpus = F.col("phrase") == -1  # one row per phrase of the queries, and one for the corpus
+    stats = counts.agg(
+        F.max(F.when(corpus, F.col("n"))).alias("n_docs"),
+        F.max(F.when(corpus, F.col("lengths") / F.col("n"))).alias("mean_length"),
+        F.map_from_entries(F.collect_list(F.when(~corpus, F.struct(F.struct("query_id", "phrase"), "n")))).alias("df"),
+    ).withColumn("_one", F.lit(1))
+    hits = matched.select("id", "length", F.inline("matches")).withColumn("_one", F.lit(1)).join(stats, "_one")
+    held = F.try_element_at("df", F.struct(F.col("query_id").cast("long").alias("query_id"), F.col("phrase")))
+    idf = F.log((F.col("n_docs") - held + 0.5) / (held + 0.5))
     weight = F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("mean_length")))
     return (
-        joined.groupBy("query_id", "phrases", "id")
-        .agg((-F.sum(floored * weight)).alias("bm25"), F.count(F.lit(1)).alias("held"))
+        hits.select("query_id", "phrases", "id", (-F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * weight).alias("part"))
+        .groupBy("query_id", "phrases", "id")
+        .agg(F.sum("part").alias("bm25"), F.count(F.lit(1)).alias("held"))
         .where(F.col("held") == F.col("phrases"))
         .select("query_id", "id", "bm25")
     )
