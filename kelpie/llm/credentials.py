@@ -328,7 +328,7 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "REDACTED") -> s
 
 # --- over tables -----------------------------------------------------------------------------------
 
-QUERIES = {rule.name: selective(required(rule.pattern), 2) for rule in RULES}
+QUERIES = {rule.name: selective(required(rule.pattern), 1) for rule in RULES}
 INDEX = TrigramIndex(QUERIES.values())
 
 
