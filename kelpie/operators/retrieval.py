@@ -35,7 +35,9 @@ def with_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     A document's tokens are all in its row, so phrases are counted there: the stated query set travels
     to the documents as one array, and no posting is moved. A word that every document holds is no hot key.
     """
-    asked = phrases.agg(F.collect_list(F.struct("query_id", "phrase", "phrases", "words")).alias("_asked")).withColumn("_one", F.lit(1))
+    asked = phrases.agg(
+        F.collect_list(F.struct("query_id", "phrase", "phrases", "words")).alias("_asked"), F.collect_set(F.col("words")[0]).alias("_first")
+    ).withColumn("_one", F.lit(1))
 
     def count(p):
         single = F.size("terms") - F.size(F.array_remove("terms", p["words"][0]))
@@ -43,10 +45,11 @@ def with_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
         f = F.when(F.size(p["words"]) == 1, single).otherwise(F.size(starts))
         return F.struct(p["query_id"].alias("query_id"), p["phrase"].alias("phrase"), p["phrases"].alias("phrases"), f.alias("f"))
 
-    likely = F.filter("_asked", lambda p: F.array_contains("terms", p["words"][0]))
+    # phrases whose first word the document lacks are left out by one hashed intersection
+    likely = F.filter("_asked", lambda p: F.array_contains("_here", p["words"][0]))
     found = F.filter(F.transform(likely, count), lambda m: m["f"] > 0)
-    joined = docs.withColumn("_one", F.lit(1)).join(asked, "_one")
-    return joined.withColumn("matches", found).drop("_one", "_asked")
+    joined = docs.withColumn("_one", F.lit(1)).join(asked, "_one").withColumn("_here", F.array_intersect("terms", "_first"))
+    return joined.withColumn("matches", found).drop("_one", "_asked", "_first", "_here")
 
 
 def phrase_counts(docs: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -213,17 +213,16 @@ def _(t):
     return joined.select("id", F.coalesce("in_text", F.lit(0)).alias("in_text"), F.coalesce("in_vectors", F.lit(0)).alias("in_vectors"))
 
 
-@query("C11_hydrate", f"""
-SELECT source_type, source_id, label FROM (
-  SELECT 'doc' AS source_type, doc_id AS source_id, title AS label FROM documents UNION ALL
-  SELECT 'code', id, symbol FROM code_chunks UNION ALL SELECT 'task', id, status FROM {TASKS}) WHERE source_id % 97 = 5""")
-def _(t):
-    sources = (
-        t.documents.select(F.lit("doc").alias("source_type"), F.col("doc_id").alias("source_id"), F.col("title").alias("label"))
-        .unionByName(t.code_chunks.select(F.lit("code").alias("source_type"), F.col("id").alias("source_id"), F.col("symbol").alias("label")))
-        .unionByName(t.tasks.select(F.lit("task").alias("source_type"), F.col("id").alias("source_id"), F.col("status").alias("label")))
+@query("C11_hydrate", """
+SELECT w.source_type, w.source_id, label FROM (SELECT 'doc' AS source_type, vec_id AS source_id FROM embeddings UNION ALL SELECT DISTINCT 'code', chunk_id FROM locate_hits) w
+JOIN (SELECT 'doc' AS source_type, doc_id AS source_id, title AS label FROM documents UNION ALL SELECT 'code', id, symbol FROM code_chunks) s USING (source_type, source_id)""")
+def _(t):
+    sources = t.documents.select(F.lit("doc").alias("source_type"), F.col("doc_id").alias("source_id"), F.col("title").alias("label")).unionByName(
+        t.code_chunks.select(F.lit("code").alias("source_type"), F.col("id").alias("source_id"), F.col("symbol").alias("label"))
+    )
+    wanted = t.embeddings.select(F.lit("doc").alias("source_type"), F.col("vec_id").alias("source_id")).unionByName(
+        t.locate_hits.select(F.lit("code").alias("source_type"), F.col("chunk_id").alias("source_id")).distinct()
     )
-    wanted = sources.where("source_id % 97 = 5").select("source_type", "source_id")
     return wanted.join(sources, ["source_type", "source_id"])
 
 
@@ -261,21 +260,21 @@ def _(t):
 
 
 @query("C16_nested_loop", """
-SELECT e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cos
-FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q""")
+SELECT query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cos
+FROM embeddings e, (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q""")
 def _(t):
     from kelpie.operators.retrieval import vector_scores
 
-    asked = t.embeddings.where("vec_id = 0").select(F.lit(1).alias("query_id"), F.col("embedding").alias("vector"))
+    asked = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     scored = vector_scores(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), asked, 64, drop_negative=False)
-    return scored.select("id", F.round("cos", 6).alias("cos"))
+    return scored.select("query_id", "id", F.round("cos", 6).alias("cos"))
 
 
 _TURNS_SQL = """(SELECT project_id AS grp, id AS turn, epoch_us(ts) AS x FROM session_turn_metrics WHERE ts IS NOT NULL)"""
 
 
 @query("C17_forward_asof", f"""
-WITH t AS {_TURNS_SQL}, m AS (SELECT grp, turn AS mark, x - 1800000000 AS x FROM t WHERE turn % 3 = 0),
+WITH t AS {_TURNS_SQL}, m AS (SELECT grp, turn AS mark, x - 1800000000 AS x FROM t),
 p AS (SELECT grp, turn, x, row_number() OVER (PARTITION BY grp ORDER BY x, turn) AS rk FROM t)
 SELECT m.mark, COALESCE(n.rk, l.rk) AS rk FROM m
 ASOF LEFT JOIN (SELECT grp, x, MIN(rk) AS rk FROM p GROUP BY 1, 2) n ON m.grp = n.grp AND m.x <= n.x
@@ -283,7 +282,7 @@ JOIN (SELECT grp, MAX(rk) AS rk FROM p GROUP BY 1) l ON l.grp = m.grp""")
 def _(t):
     turns = t.session_turn_metrics.where("ts is not null").select(F.col("project_id").alias("grp"), F.col("id").alias("turn"), F.unix_micros("ts").alias("x"))
     ranked = turns.withColumn("rk", F.row_number().over(Window.partitionBy("grp").orderBy("x", "turn")).cast("long"))
-    marks = turns.where("turn % 3 = 0").select("grp", F.col("turn").alias("mark"), (F.col("x") - 1_800_000_000).alias("mx"))
+    marks = turns.select("grp", F.col("turn").alias("mark"), (F.col("x") - 1_800_000_000).alias("mx"))
     return joins.next_at_or_after(ranked, marks, "grp", "x", "mx", "mark", "rk")
 
 
@@ -533,9 +532,9 @@ def _(t):
     return t.locate_hits.orderBy(F.desc("score"), "kind", "query_id", "hit_id").limit(50).select("hit_id", "kind", "query_id")
 
 
-@query("F02_locate_order", "SELECT hit_id FROM locate_hits WHERE query_id <= 20 ORDER BY score DESC, chunk_id, hit_id LIMIT 30")
+@query("F02_locate_order", "SELECT hit_id FROM locate_hits ORDER BY score DESC, chunk_id, hit_id LIMIT 30")
 def _(t):
-    return t.locate_hits.where("query_id <= 20").orderBy(F.desc("score"), "chunk_id", "hit_id").limit(30).select("hit_id")
+    return t.locate_hits.orderBy(F.desc("score"), "chunk_id", "hit_id").limit(30).select("hit_id")
 
 
 @query("F04_case_sort", f"SELECT id, status FROM {TASKS} ORDER BY CASE status WHEN 'open' THEN 0 WHEN 'blocked' THEN 1 WHEN 'done' THEN 2 ELSE 3 END, id LIMIT 200")

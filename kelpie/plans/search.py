@@ -78,21 +78,25 @@ def _vector_queries(t, numbers=(0, 1, 2, 3)):
     return t.embeddings.where(F.col("vec_id").isin(list(numbers))).select((F.col("vec_id") + 1).alias("query_id"), F.col("embedding").alias("vector"))
 
 
+def _every_fiftieth(t):
+    return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 def _vectors(t):
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
 @query("I05_vector_topk", f"""
-SELECT query_id, rank, id, cos FROM (SELECT q.vec_id + 1 AS query_id, e.vec_id AS id, round({_COS}, 6) AS cos,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 6) DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 4) q WHERE {_COS} >= 0) WHERE rank <= 20""")
+SELECT query_id, rank, id, cos FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round({_COS}, 6) AS cos,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 6) DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE {_COS} >= 0) WHERE rank <= 20""")
 def _(t):
-    scored = retrieval.vector_scores(_vectors(t), _vector_queries(t), 64).withColumn("cos", F.round("cos", 6))
+    scored = retrieval.vector_scores(_vectors(t), _every_fiftieth(t), 64).withColumn("cos", F.round("cos", 6))
     return retrieval.top_per_query(scored, [F.desc("cos"), F.col("id")], 20).select("query_id", "rank", "id", "cos")
 
 
-@query("B12_nonneg_cosine", f"SELECT e.vec_id AS id FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) q WHERE {_COS} >= 0")
+@query("B12_nonneg_cosine", f"SELECT q.vec_id AS query_id, e.vec_id AS id FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE {_COS} >= 0")
 def _(t):
-    return retrieval.vector_scores(_vectors(t), _vector_queries(t, (0,)), 64).select("id")
+    return retrieval.vector_scores(_vectors(t), _every_fiftieth(t), 64).select("query_id", "id")
 
 
 _HYBRID = f"""
