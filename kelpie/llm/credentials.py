@@ -13,7 +13,7 @@ import binascii
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -128,7 +128,7 @@ RULES = [
     Rule("command", r"(?i)(?:curl|login|wget|mysql|psql|http|ssh|registry)\b[^\n]*?[ \t](?:-u|-p|--user|--password)[ =]", "_command"),
     Rule("netrc", r"(?i)machine[ \t]+\S+[ \t]+login[ \t]+\S+[ \t]+password[ \t]+", "_following"),
     Rule("prose", r"(?i)password|passwort|kennwort|contrase|mot de passe|login|log in|zugang|clave|credential|anmelde|identifiant|rotate", "_prose"),
-    Rule("cell", r"[ \t\n]\|[ \t]+(?=[^|\n]*\d)[^|\s]{8,}[ \t]+\|", "_cell"),
+    Rule("cell", r"[ \t\n]\|[ \t]+(?=[^|\n]*\d)[^|\s]{8,}(?=[ \t]+\|)", "_cell"),
     Rule("encoded", r"Z2h[vwtyz]|QUtJQ|c2tfb|cmtfb|Z2xwY|bnBtX|cXY[wxyz]|ZXlK|eG94", "_encoded"),
 ]
 
@@ -160,6 +160,18 @@ def _literals(text: str, at: int, bare_too: bool = True) -> Iterator[tuple[str,
         yield _whole(text, *quoted.span(2))
 
 
+_NEXT = re.compile(r"[\"'`]?\s*(?:,|\?\?|\|\||\bor\b|:(?!=))\s*(?:([\"'`])((?:(?!\1)[^\n\\]|\\.)*)\1|([^\s\"'`,;|(){}\[\]<>=:]+)(?=[\s,;\]})\"'`]|$))(?!\s*[:=(])")
+
+
+def _listed(text: str, at: int) -> Iterator[list[tuple[int, int]]]:
+    """The further values of a list or choice whose last one ended at `at`; a name with a value of its own ends it."""
+    while more := _NEXT.match(text, at):
+        span = more.span(2 if more[1] else 3)
+        if secret_like(text[slice(*span)]):
+            yield [span]
+        at = span[1]
+
+
 def _private_key(text: str, m: re.Match) -> Iterator[list[tuple[int, int]]]:
     close = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY").search(text, m.end())
     # a key that isn't closed, as in a clipped snippet, ends with its lines of base64
@@ -193,6 +205,7 @@ def _assigned(text: str, m: re.Match) -> Iterator[list[tuple[int, int]]]:
     for value, spans in _literals(text, m.end(), bare_too=not m[0].endswith(",")):
         if secret_like(value):
             yield spans
+            yield from _listed(text, spans[-1][1])
             return
         if "://" in value or re.match(r"(?i)(?:basic|bearer|token) ", value):
             return  # other rules
@@ -232,9 +245,16 @@ def _call(text: str, m: re.Match) -> Iterator[list[tuple[int, int]]]:
 
 
 def _command(text: str, m: re.Match) -> Iterator[list[tuple[int, int]]]:
-    value = re.compile(r"[\"']?(?:[\w.@\-]+:)?([^\s\"':]+)").match(text, m.end())
-    if value and secret_like(value[1]):
-        yield [value.span(1)]
+    end = text.find("\n", m.end())
+    at = m.end()
+    while True:  # all options of the line
+        value = re.compile(r"[\"']?(?:[\w.@\-]+:)?([^\s\"':]+)").match(text, at)
+        if value and secret_like(value[1]):
+            yield [value.span(1)]
+        more = re.compile(r"(?i)[ \t](?:-u|-p|--user|--password)[ =]").search(text, at, end if end >= 0 else len(text))
+        if not more:
+            return
+        at = more.end()
 
 
 def _following(text: str, m: re.Match) -> Iterator[list[tuple[int, int]]]:
@@ -254,7 +274,6 @@ def _prose(text: str, m: re.Match) -> Iterator[list[tuple[int, int]]]:
         near = abs(start + word.start() - m.start()) <= 120
         if near and not re.match(r"[\w./\-\[\]]+[=({][^=]", value) and "=" not in value[:-2] and secret_like(value, strict=not re.fullmatch(r"[0-9a-f]{32,}", value)):
             yield [(start + word.start(), start + word.start() + len(value))]
-            return
 
 
 def _cell(text: str, m: re.Match) -> Iterator[list[tuple[int, int]]]:
@@ -277,14 +296,15 @@ _COMPILED = {
 _NEVER = re.compile(r"(?i)\b(?:sha(?:1|224|256|384|512)|md5|checksum|digest|integrity|fingerprint|etag|commit|content_hash)\b[\"'\])]*\s*(?::=|=|:)")
 
 
-def find_credentials(text: str | None, rules: list[str] | None = None) -> list[tuple[int, str, list[tuple[int, int]]]]:
-    """(line, rule, spans) of every credential of a text, lines from 1, at most one per line.
+def all_credentials(text: str | None, rules: list[str] | None = None) -> list[tuple[int, str, list[tuple[int, int]]]]:
+    """(line, rule, spans) of every credential of a text in order, lines from 1; any number per line.
 
+    What several expressions find at one place is one credential, with all that any of them covers.
     Null and empty texts have none. Only the named rules are tried; None means all.
     """
     if not text:
         return []
-    found: dict[int, tuple[str, list[tuple[int, int]]]] = {}
+    found: list[tuple[str, list[tuple[int, int]]]] = []
     lowered = text.lower()
     if len(lowered) != len(text):  # a few letters change their length
         lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -295,23 +315,60 @@ def find_credentials(text: str | None, rules: list[str] | None = None) -> list[t
         for m in pattern.finditer(lowered if any_case else text):
             for spans in judge(text, m):
                 at = spans[0][0]
-                start = text.rfind("\n", 0, at) + 1
-                if rule.name in ("prose", "cell", "assigned", "assigned_pw") and _NEVER.search(text, start, at):
+                if rule.name in ("prose", "cell", "assigned", "assigned_pw") and _NEVER.search(text, text.rfind("\n", 0, at) + 1, at):
                     continue
-                line = text.count("\n", 0, at) + 1
-                known = found.get(line)
-                if known is None or (len(spans), spans[-1][1] - at) > (len(known[1]), known[1][-1][1] - known[1][0][0]):
-                    found[line] = (rule.name, spans)
-    # a line inside another finding (the parts of a joined value, the body of a key) is no finding of its own
-    out, covered = [], -1
-    for line, (rule, spans) in sorted(found.items()):
-        if spans[0][0] < covered:
-            continue
-        covered = max(end for _, end in spans)
+                found.append((rule.name, spans))
+    # what begins inside another finding (a part of a joined value, the body of a key) is no finding of its own
+    groups: list[list[tuple[str, list[tuple[int, int]]]]] = []
+    covered = key_end = -1
+    for rule, spans in sorted(found, key=lambda f: f[1][0][0]):
+        if spans[0][0] < key_end:
+            continue  # a key ends where its END line begins, whatever else is read there
+        if rule == "private_key":
+            key_end = spans[-1][1]
+        if spans[0][0] >= covered:
+            groups.append([])
+        groups[-1].append((rule, spans))
+        covered = max(covered, *(end for _, end in spans))
+    out, line, at = [], 1, 0
+    for group in groups:
+        rule = max(group, key=lambda f: _extent(f[1]))[0]
+        spans = _united(span for _, spans in group for span in spans)
+        line, at = line + text.count("\n", at, spans[0][0]), spans[0][0]
         out.append((line, rule, spans))
     return out
 
 
+def _extent(spans: list[tuple[int, int]]) -> tuple[int, int]:
+    """Joined parts count before length."""
+    return len(spans), spans[-1][1] - spans[0][0]
+
+
+def _united(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(set(spans)):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _per_line(found: list[tuple[int, str, list[tuple[int, int]]]]) -> list[tuple[int, str, list[tuple[int, int]]]]:
+    """The one finding of each line that has most parts, then the longest, then the first."""
+    best: dict[int, tuple[int, str, list[tuple[int, int]]]] = {}
+    for f in found:
+        if f[0] not in best or _extent(f[2]) > _extent(best[f[0]][2]):
+            best[f[0]] = f
+    return list(best.values())
+
+
+def find_credentials(text: str | None, rules: list[str] | None = None) -> list[tuple[int, str, list[tuple[int, int]]]]:
+    """(line, rule, spans) of the lines on which a credential begins, one credential per line; see `all_credentials`."""
+    return _per_line(all_credentials(text, rules))
+
+
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "REDACTED") -> str:
     """The text with every span replaced; line breaks inside a span stay, so no line moves."""
     out, at = [], 0
@@ -347,12 +404,12 @@ def _verify(with_text: bool):
         for batch in batches:
             out = []
             for kind, item, text, rules in zip(batch["item_kind"], batch["item_id"], batch["text"], batch["rules"]):
-                found = find_credentials(text, list(rules))
+                found = all_credentials(text, list(rules))
                 if with_text and found:
                     clean = redact(text, [s for _, _, spans in found for s in spans])
-                    out.append((kind, item, found[0][0], found[0][1], len(found), clean))
+                    out.append((kind, item, *_per_line(found)[0][:2], len(found), clean))
                 elif not with_text:
-                    out += [(kind, item, line, rule) for line, rule, _ in found]
+                    out += [(kind, item, line, rule) for line, rule, _ in _per_line(found)]
             yield pd.DataFrame(out, columns=columns)
 
     return run
@@ -364,7 +421,10 @@ def credentials_in(texts: DataFrame) -> DataFrame:
 
 
 def redacted(texts: DataFrame) -> DataFrame:
-    """Texts that hold credentials, redacted: item_kind, item_id, first line and rule, n_found, redacted_text."""
+    """Texts that hold credentials, redacted: item_kind, item_id, first line and rule, n_found, redacted_text.
+
+    Every credential is redacted and counted, however many stand on a line.
+    """
     schema = "item_kind string, item_id long, line_no long, rule string, n_found long, redacted_text string"
     return candidates(texts).mapInPandas(_verify(True), schema)
 
