@@ -34,7 +34,9 @@ def _(t):
 
 @query("J04_ast")
 def _(t):
-    bodies = t.code_chunks.select(F.col("id"), F.col("file_id"), F.substring_index("embed_text", "\n\n", -1).alias("body"))
+    at = F.locate("\n\n", F.col("embed_text"))  # the first blank line ends the path; the body may have more
+    body = F.when(at > 0, F.substring("embed_text", at + 2, F.length("embed_text"))).otherwise(F.col("embed_text"))
+    bodies = t.code_chunks.select(F.col("id"), F.col("file_id"), body.alias("body"))
     files = t.indexed_files.select(F.col("id").alias("file_id"), language_of(F.col("path")).alias("language"))
     joined = bodies.join(files, "file_id")
     return chunkers.explode_chunks(joined, "id", ["body", "language"], chunkers.code_chunks, "kind string, symbol string, first_line long, last_line long, body string").drop("body")
