@@ -91,6 +91,40 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
+def bm25_by_rarest(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """`bm25` of queries that are many and long, as whole texts are: the same rows and scores.
+
+    A document that holds every phrase of a query holds its rarest one, so a query is compared only with
+    the documents of that phrase. Phrases are joined to documents at their first word; what is sent are
+    the distinct phrases of all queries.
+    """
+    asked = query_phrases(queries).groupBy("query_id", "phrases", "words").agg(F.count(F.lit(1)).alias("times"))
+    distinct = asked.select("words", F.col("words")[0].alias("_first")).distinct()
+    here = docs.select("id", "terms", F.explode(F.array_distinct("terms")).alias("_first")).join(F.broadcast(distinct), "_first")
+    held = here.where((F.size("words") == 1) | (_phrase_count(F.col("words")) > 0)).select("id", "words")
+    frequency = held.groupBy("words").agg(F.count(F.lit(1)).alias("df"))
+    corpus = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
+    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # a query with a phrase that no document holds has no row, whichever phrase stands for it
+    weighed = asked.join(frequency, "words").crossJoin(corpus).withColumn("idf", F.when(idf > 0, idf).otherwise(F.lit(1e-6)))
+    whole = weighed.groupBy("query_id", "phrases", "mean_length").agg(
+        F.min(F.struct("df", "words"))["words"].alias("rarest"), F.collect_list(F.struct("words", "times", "idf")).alias("_all"), F.sum("times").alias("_known")
+    ).where(F.col("_known") == F.col("phrases"))
+    likely = held.join(whole.select("query_id", F.col("rarest").alias("words")), "words").select("query_id", "id")
+    compared = likely.join(docs, "id").join(whole.select("query_id", "mean_length", "_all"), "query_id")
+    counted = compared.withColumn("_f", F.transform("_all", lambda p: F.struct(p["times"].alias("times"), p["idf"].alias("idf"), _phrase_count(p["words"]).alias("f"))))
+    norm = 1.2 * (0.25 + 0.75 * F.col("length") / F.col("mean_length"))
+    score = F.aggregate("_f", F.lit(0.0), lambda total, p: total - p["times"] * p["idf"] * (p["f"] * 2.2 / (p["f"] + norm)))
+    return counted.where(F.forall("_f", lambda p: p["f"] > 0)).select("query_id", "id", score.alias("bm25"))
+
+
+def _phrase_count(words):
+    """How often the phrase stands in `terms`."""
+    single = F.size("terms") - F.size(F.array_remove("terms", words[0]))
+    starts = F.filter("terms", lambda t, i: (t == words[0]) & (F.slice("terms", i + 1, F.size(words)) == words))
+    return F.when(F.size(words) == 1, single).otherwise(F.size(starts))
+
+
 def top_per_query(scored: DataFrame, order: list, k: int, within: list[str] | None = None) -> DataFrame:
     """The first k rows per query (and other columns) in a total order, with their 1-based `rank`.
 

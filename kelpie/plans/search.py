@@ -109,9 +109,20 @@ norm AS (SELECT *, CASE WHEN bm25 IS NULL THEN 0.0 WHEN hi = lo THEN 1.0 ELSE (h
 
 
 def _candidates(t):
-    scored = retrieval.bm25(_docs(t), _asked(t)).withColumn("bm25", F.round("bm25", 6))
+    return _merged(t, retrieval.bm25(_docs(t), _asked(t)), _vector_queries(t))
+
+
+def _fiftieth_candidates(t):
+    """Candidates of every fiftieth vector and of the text of the document of its id."""
+    vectors = _every_fiftieth(t)
+    texts = t.documents.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")).join(vectors.select("query_id"), "query_id", "left_semi")
+    return _merged(t, retrieval.bm25_by_rarest(_docs(t), texts), vectors)
+
+
+def _merged(t, scored, vectors):
+    scored = scored.withColumn("bm25", F.round("bm25", 6))
     lexical = retrieval.top_per_query(scored, [F.col("bm25"), F.col("id")], 50).select("query_id", "id", "bm25")
-    vector = retrieval.vector_scores(_vectors(t), _vector_queries(t), 64)
+    vector = retrieval.vector_scores(_vectors(t), vectors, 64)
     merged = retrieval.merge_candidates(lexical, vector, ["query_id", "id"])
     return retrieval.normalised(merged, ["query_id"])
 
@@ -134,7 +145,16 @@ fused AS (SELECT query_id, id, round((0.5 * fts01 + 0.5 * LEAST(1, GREATEST(0, C
 
 @query("I06_hybrid", f"WITH {_HYBRID}, {_FUSED} SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused) WHERE rank <= 10")
 def _(t):
-    scored = retrieval.fused(_flagged(t, _candidates(t)), Weights(half_life_days=365.0)).withColumn("score", F.round("score", 6))
+    return _hybrid(t, _candidates(t))
+
+
+@query("I06_hybrid_fiftieth")
+def _(t):
+    return _hybrid(t, _fiftieth_candidates(t))
+
+
+def _hybrid(t, candidates):
+    scored = retrieval.fused(_flagged(t, candidates), Weights(half_life_days=365.0)).withColumn("score", F.round("score", 6))
     return retrieval.top_per_query(scored, [F.desc("score"), F.col("id")], 10).select("query_id", "rank", "id", "score")
 
 
@@ -172,7 +192,16 @@ def _(t):
 WITH {_HYBRID}, {_FUSED}, scoped AS (SELECT CASE WHEN id % 4 = 0 THEN 'global' ELSE 'repo' END AS scope, fused.* FROM fused)
 SELECT query_id, rank, scope, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, scope, id) AS rank FROM scoped) WHERE rank <= 10""")
 def _(t):
-    scored = retrieval.fused(_flagged(t, _candidates(t)), Weights(half_life_days=365.0)).withColumn("score", F.round("score", 6))
+    return _cross_store(t, _candidates(t))
+
+
+@query("I10_cross_store_fiftieth")
+def _(t):
+    return _cross_store(t, _fiftieth_candidates(t))
+
+
+def _cross_store(t, candidates):
+    scored = retrieval.fused(_flagged(t, candidates), Weights(half_life_days=365.0)).withColumn("score", F.round("score", 6))
     stores = [scored.where("id % 4 = 0").withColumn("scope", F.lit("global")), scored.where("id % 4 <> 0").withColumn("scope", F.lit("repo"))]
     both = stores[0].unionByName(stores[1])
     return retrieval.top_per_query(both, [F.desc("score"), F.col("scope"), F.col("id")], 10).select("query_id", "rank", "scope", "id", "score")
