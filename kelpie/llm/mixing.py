@@ -125,6 +125,13 @@ def mixture_shares(documents: DataFrame, targets: DataFrame, mixed: DataFrame) -
     )
 
 
+def unmet_by_mixture(documents: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
+    """(mix_id, source) of the targets that their mixture misses, all documents at the cap; the totals confirm it."""
+    shares = mixture_shares(documents, targets, mixtures(documents, targets, seed))
+    missed = (F.col("mixed_tokens") <= F.col("wanted_tokens")) & (F.coalesce("most_copies", F.lit(0)) <= F.coalesce("max_repeats", F.lit(0)))
+    return shares.where(missed & F.col("short")).select("mix_id", "source").distinct()
+
+
 def unmet(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """(mix_id, source) of the targets that all repeats of all documents of the source can't reach."""
     return allotments(source_totals(documents), targets).where("short").select("mix_id", "source").distinct()

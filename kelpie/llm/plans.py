@@ -64,7 +64,7 @@ def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.unmet(_counted(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    return mixing.unmet_by_mixture(_counted(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 def p7_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,15 @@ def test_edges(spark):
     assert mixing.mixtures(d.limit(0), targets).count() == 0 and mixing.unmet(d, targets.limit(0)).count() == 0
 
 
+def test_found_goes_through_the_mixture(spark):
+    d = spark.createDataFrame([(1, "a", 10), (2, None, 5), (3, "a", 0), (4, "b", 7)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([(1, "a", 1.0, 1, 1.0), (1, "none", 0.5, 9, 1.0), (1, "b", 0.1, 1, 1.0), (2, None, 0.5, 1, 1.0), (3, "a", None, None, 1.0), (4, "b", 1.0, 2, 0.5)], TARGETS)
+    found = mixing.unmet_by_mixture(d, targets)
+    assert rows(found) == rows(mixing.unmet(d, targets)) and len(rows(found)) == 3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bin" in plan and "_key" in plan  # steps of the rank key are summed
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|>"), (5, "a" * 50_000)], "doc_id long, text string")
     counts = dict(rows(tokens.with_token_counts(df, "text", ["doc_id"])))
