@@ -100,6 +100,13 @@ def test_required_trigrams_hold_for_matches():
     assert required("(?i)ABc[xy]d") == frozenset({frozenset({"abc", "bcx", "cxd"}), frozenset({"abc", "bcy", "cyd"})})
 
 
+def test_postings_are_intersected():
+    for rule in C.RULES:
+        least = {min(len(grams), 2) for grams in required(rule.pattern)}
+        assert min(len(grams) for grams in C.QUERIES[rule.name]) >= min(least), rule.name
+    assert any(len(grams) > 1 for query in C.QUERIES.values() for grams in query)
+
+
 def test_tables(spark):
     texts = [("hit", i, t) for i, t in enumerate([*CASES, *NONE])] + [("hit", 0, CASES[0]), ("doc", 0, "x " * 200_000 + "\n" + CASES[1])]
     df = spark.createDataFrame(texts, "item_kind string, item_id long, text string")
