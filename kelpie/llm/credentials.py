@@ -1,7 +1,8 @@
 """Credentials embedded in code, configuration and prose (problem 3).
 
-Method: a trigram index over the texts; the trigrams that each detection expression requires are
-derived from it, their postings intersected, and only the candidates are verified by the expressions.
+Method: a trigram index over the lines of the texts; the trigrams that each detection expression
+requires are derived from it, their postings intersected, and only the candidate lines are verified by
+the expression. Every expression finds what begins on one line; what follows may be spread over more.
 What an expression finds is then judged as a value: placeholders, references, masked values, patterns,
 hashes, identifiers and public keys are no credentials.
 """
@@ -10,18 +11,18 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.trigrams import TrigramIndex, required, selective
+from kelpie.llm.trigrams import TrigramIndex, lowered, required, segments
 
 # --- values ----------------------------------------------------------------------------------------
 
@@ -122,7 +123,7 @@ RULES = [
     Rule("attribute", rf"(?i){_NAME}\w*[\"'][ \t]+value[ \t]*=[ \t]*[\"']", "_attribute"),
     Rule("attribute_key", r"(?i)key[\"'][ \t]+value[ \t]*=[ \t]*[\"']", "_attribute"),
     Rule("authorization", r"(?i)authorization[\"'\])]{0,3}[ \t]*[:=,][ \t]*[\"'`]?(?:(?:basic|bearer|token)[ \t]+)?", "_authorization"),
-    Rule("userinfo", r"(?<=[A-Za-z0-9])://[^\s:/@\"'`]{0,80}:", "_userinfo"),
+    Rule("userinfo", r"(?<=[A-Za-z0-9])://[^\s:/@\"'`]*:", "_userinfo"),
     Rule("connection", r"(?i)(?:accountkey|accountpwd|sharedaccesskey|password|pwd)=", "_connection"),
     Rule("call", r"(?i)(?:login|auth|bind|signin|sign_in|connect|credentials)\w*\([ \t]*[\"'`][^\"'`\n]*[\"'`][ \t]*,[ \t]*[\"'`]", "_call"),
     Rule("command", r"(?i)(?:curl|login|wget|mysql|psql|http|ssh|registry)\b[^\n]*?[ \t](?:-u|-p|--user|--password)[ =]", "_command"),
@@ -177,7 +178,7 @@ def _private_key(text: str, m: re.Match) -> Iterator[list[tuple[int, int]]]:
     # a key that isn't closed, as in a clipped snippet, ends with its lines of base64
     end = close.start() if close else re.compile(r"(?:(?:\\n|\s)*[A-Za-z0-9+/=]{16,})*…?").match(text, m.end()).end()
     body = re.sub(r"\\n|\\r|[\s#/*\"'`+>|\\]+", "", text[m.end() : end])
-    body = re.sub(r"^(?:[A-Za-z\-]+:[^,]*,?)+", "", body) if ":" in body[:40] else body
+    body = re.sub(r"^(?:[A-Za-z\-]+:[^,]*,?)+", "", body)
     if body.startswith("REDACTED"):
         return
     if re.match(r"[A-Za-z0-9+/=]{16,}", body) or not close and len(body.strip("…")) == 0:
@@ -263,17 +264,21 @@ def _following(text: str, m: re.Match) -> Iterator[list[tuple[int, int]]]:
         yield [value.span()]
 
 
+_STOP = re.compile(r"[.!?][\"')\]]*[ \t]+(?=[A-ZÄÖÜÀ-Þ¿¡])")
+
+
 def _prose(text: str, m: re.Match) -> Iterator[list[tuple[int, int]]]:
     start = text.rfind("\n", 0, m.start()) + 1
     end = text.find("\n", m.end())
-    line = text[start : end if end >= 0 else len(text)]
-    if len(line) > 1000 and not re.search(r"\s", line[:1000]):
-        return
-    for word in re.finditer(r"[^\s`\"'|<>()]+", line):
+    end = len(text) if end < 0 else end
+    # the sentence of the word, the one before it and the one after it
+    stops = [start, *(stop.end() for stop in _STOP.finditer(text, start, end)), end]
+    at = bisect.bisect_right(stops, m.start()) - 1
+    first, last = stops[max(0, at - 1)], stops[min(len(stops) - 1, at + 2)]
+    for word in re.compile(r"[^\s`\"'|<>()]+").finditer(text, first, last):
         value = word[0].rstrip(".,;:")
-        near = abs(start + word.start() - m.start()) <= 120
-        if near and not re.match(r"[\w./\-\[\]]+[=({][^=]", value) and "=" not in value[:-2] and secret_like(value, strict=not re.fullmatch(r"[0-9a-f]{32,}", value)):
-            yield [(start + word.start(), start + word.start() + len(value))]
+        if not re.match(r"[\w./\-\[\]]+[=({][^=]", value) and "=" not in value[:-2] and secret_like(value, strict=not re.fullmatch(r"[0-9a-f]{32,}", value)):
+            yield [(word.start(), word.start() + len(value))]
 
 
 def _cell(text: str, m: re.Match) -> Iterator[list[tuple[int, int]]]:
@@ -296,28 +301,28 @@ _COMPILED = {
 _NEVER = re.compile(r"(?i)\b(?:sha(?:1|224|256|384|512)|md5|checksum|digest|integrity|fingerprint|etag|commit|content_hash)\b[\"'\])]*\s*(?::=|=|:)")
 
 
-def all_credentials(text: str | None, rules: list[str] | None = None) -> list[tuple[int, str, list[tuple[int, int]]]]:
+Places = dict[str, list[tuple[int, int]]]  # by expression, where in a text it is to be tried
+
+
+def all_credentials(text: str | None, places: Places | None = None) -> list[tuple[int, str, list[tuple[int, int]]]]:
     """(line, rule, spans) of every credential of a text in order, lines from 1; any number per line.
 
     What several expressions find at one place is one credential, with all that any of them covers.
-    Null and empty texts have none. Only the named rules are tried; None means all.
+    Null and empty texts have none. Each rule is tried at its `places` only; None means everywhere.
     """
     if not text:
         return []
     found: list[tuple[str, list[tuple[int, int]]]] = []
-    lowered = text.lower()
-    if len(lowered) != len(text):  # a few letters change their length
-        lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    low = lowered(text)
     for rule in RULES:
-        if rules is not None and rule.name not in rules:
-            continue
         pattern, any_case, judge = _COMPILED[rule.name]
-        for m in pattern.finditer(lowered if any_case else text):
-            for spans in judge(text, m):
-                at = spans[0][0]
-                if rule.name in ("prose", "cell", "assigned", "assigned_pw") and _NEVER.search(text, text.rfind("\n", 0, at) + 1, at):
-                    continue
-                found.append((rule.name, spans))
+        for start, end in [(0, len(text))] if places is None else places.get(rule.name, ()):
+            for m in pattern.finditer(low if any_case else text, start, end):
+                for spans in judge(text, m):
+                    at = spans[0][0]
+                    if rule.name in ("prose", "cell", "assigned", "assigned_pw") and _NEVER.search(text, text.rfind("\n", 0, at) + 1, at):
+                        continue
+                    found.append((rule.name, spans))
     # what begins inside another finding (a part of a joined value, the body of a key) is no finding of its own
     groups: list[list[tuple[str, list[tuple[int, int]]]]] = []
     covered = key_end = -1
@@ -364,9 +369,9 @@ def _per_line(found: list[tuple[int, str, list[tuple[int, int]]]]) -> list[tuple
     return list(best.values())
 
 
-def find_credentials(text: str | None, rules: list[str] | None = None) -> list[tuple[int, str, list[tuple[int, int]]]]:
+def find_credentials(text: str | None, places: Places | None = None) -> list[tuple[int, str, list[tuple[int, int]]]]:
     """(line, rule, spans) of the lines on which a credential begins, one credential per line; see `all_credentials`."""
-    return _per_line(all_credentials(text, rules))
+    return _per_line(all_credentials(text, places))
 
 
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "REDACTED") -> str:
@@ -385,16 +390,21 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "REDACTED") -> s
 
 # --- over tables -----------------------------------------------------------------------------------
 
-QUERIES = {rule.name: selective(required(rule.pattern), 2) for rule in RULES}
-INDEX = TrigramIndex(QUERIES.values())
+INDEX = TrigramIndex({rule.name: required(rule.pattern) for rule in RULES})
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """`texts` (item_kind, item_id, text) with the rules whose required trigrams they hold; others go."""
-    indexed = INDEX.build(texts.where(F.col("text").isNotNull()).select("item_kind", "item_id", "text"), "text")
-    any_rule = reduce(lambda a, b: a | b, (INDEX.may_match(q) for q in QUERIES.values()))
-    hold = [F.when(INDEX.may_match(query), F.lit(name)) for name, query in QUERIES.items()]
-    return indexed.where(any_rule).select("item_kind", "item_id", "text", F.array_compact(F.array(*hold)).alias("rules"))
+def candidate_places(lower_texts: list[str]) -> list[Places]:
+    """For each text of a segment the lines on which each expression may match, by the index.
+
+    A match may take the line end before its line along.
+    """
+    segment = INDEX.segment(lower_texts)
+    out: list[Places] = [{} for _ in lower_texts]
+    for rule in RULES:
+        lines = INDEX.candidates(segment, rule.name)
+        for text, start, end in zip(segment.text[lines].tolist(), segment.start[lines].tolist(), segment.end[lines].tolist()):
+            out[text].setdefault(rule.name, []).append((max(0, start - 1), end))
+    return out
 
 
 def _verify(with_text: bool):
@@ -403,21 +413,27 @@ def _verify(with_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for kind, item, text, rules in zip(batch["item_kind"], batch["item_id"], batch["text"], batch["rules"]):
-                found = all_credentials(text, list(rules))
-                if with_text and found:
-                    clean = redact(text, [s for _, _, spans in found for s in spans])
-                    out.append((kind, item, *_per_line(found)[0][:2], len(found), clean))
-                elif not with_text:
-                    out += [(kind, item, line, rule) for line, rule, _ in _per_line(found)]
+            for low, high, lower_texts in segments(batch["text"]):
+                part = batch.iloc[low:high]
+                for kind, item, text, places in zip(part["item_kind"], part["item_id"], part["text"], candidate_places(lower_texts)):
+                    found = all_credentials(text, places) if places else []
+                    if with_text and found:
+                        clean = redact(text, [s for _, _, spans in found for s in spans])
+                        out.append((kind, item, *_per_line(found)[0][:2], len(found), clean))
+                    elif not with_text:
+                        out += [(kind, item, line, rule) for line, rule, _ in _per_line(found)]
             yield pd.DataFrame(out, columns=columns)
 
     return run
 
 
+def _texts(texts: DataFrame) -> DataFrame:
+    return texts.where(F.length("text") > 0).select("item_kind", "item_id", "text")
+
+
 def credentials_in(texts: DataFrame) -> DataFrame:
     """(item_kind, item_id, line_no, rule): the line on which each credential begins."""
-    return candidates(texts).mapInPandas(_verify(False), "item_kind string, item_id long, line_no long, rule string")
+    return _texts(texts).mapInPandas(_verify(False), "item_kind string, item_id long, line_no long, rule string")
 
 
 def redacted(texts: DataFrame) -> DataFrame:
@@ -426,7 +442,7 @@ def redacted(texts: DataFrame) -> DataFrame:
     Every credential is redacted and counted, however many stand on a line.
     """
     schema = "item_kind string, item_id long, line_no long, rule string, n_found long, redacted_text string"
-    return candidates(texts).mapInPandas(_verify(True), schema)
+    return _texts(texts).mapInPandas(_verify(True), schema)
 
 
 def stored_texts(hits: DataFrame, docs: DataFrame) -> DataFrame:

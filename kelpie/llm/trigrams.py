@@ -1,23 +1,24 @@
-"""A trigram index over texts, and the trigrams that a regular expression requires.
+"""A trigram index over lines of text, and the trigrams that a regular expression requires.
 
-The index is restricted to the trigrams that the detection expressions require, a fixed set that
-doesn't grow with the data. It is kept text-major: one bit per trigram and text, built in the scan by
-built-in functions. Intersecting postings is then a bit test in the same pass instead of a shuffle of
-postings; `postings` gives the inverted form where one index serves many scans.
+The index holds the trigrams that the detection expressions require, a fixed set that doesn't grow with
+the data. It is built by segments, one per some millions of characters, each an inverted index in
+memory: for every trigram the lines that hold it, in order. A query intersects the postings of each of
+its alternatives and unites the results, so no posting is shuffled and no segment needs another.
+`TrigramIndex.table` gives the same postings as rows, where one index is to serve many scans.
 """
 
 from __future__ import annotations
 
 import re._constants as op
 import re._parser as parser
-from collections.abc import Iterable
-from functools import reduce
+from collections.abc import Iterable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ALTERNATIVES = 256
-WORD_BITS = 62  # bits used of each long
 
 #: Alternatives, each a set of trigrams of which all must occur; an empty set: anything may match.
 Query = frozenset[frozenset[str]]
@@ -86,62 +87,108 @@ def required(pattern: str) -> Query:
     return frozenset(minimal)
 
 
-# Fixed value: letters from the most to the least frequent in Western European text.
-_COMMON = "etaoinsrhldcumfpgwybvkxjqz"
+def _slots(points: np.ndarray) -> np.ndarray:
+    """A number of 16 bits for each three points in a row; different trigrams rarely share one."""
+    near = np.minimum(points, 255).astype(np.uint16)
+    return near[:-2] * np.uint16(40503) ^ near[1:-1] * np.uint16(2531) ^ near[2:]
 
 
-def _rarity(gram: str) -> tuple[int, str]:
-    """Greater for trigrams that few texts hold: rare letters, digits and signs count most."""
-    return sum(_COMMON.index(c) if c in _COMMON else 20 if c not in " \t\n" else 0 for c in gram), gram
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def selective(query: Query, keep: int) -> Query:
-    """The query with the `keep` rarest trigrams of each alternative; it lets through no less."""
-    return frozenset(frozenset(sorted(a, key=_rarity, reverse=True)[:keep]) for a in query)
+class Segment:
+    """The postings of some texts. Lines are numbered through; trigrams in one slot share their postings,
+    so what a query gives is never too few lines."""
+
+    def __init__(self, slots: np.ndarray, texts: list[str]):
+        points = _points("\n".join(texts))
+        breaks = np.flatnonzero(points == 10)
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        text_starts = np.cumsum(lengths + 1) - lengths - 1
+        starts = np.concatenate(([0], breaks + 1))
+        #: of each line: its text, where in the text it begins and ends, and its number there from 1
+        self.text = np.searchsorted(text_starts, starts, side="right") - 1
+        self.start = starts - text_starts[self.text]
+        self.end = np.concatenate((breaks, [len(points)])) - text_starts[self.text]
+        self.line_no = np.arange(len(starts)) - np.searchsorted(starts, text_starts)[self.text] + 1
+        number = slots[_slots(points)] if len(points) > 2 else np.zeros(0, slots.dtype)
+        at = np.flatnonzero(number)
+        line, last = np.searchsorted(breaks, at), np.searchsorted(breaks, at + 2)
+        over = line != last  # a trigram with a line end in it is in both lines
+        key = np.concatenate((number[at] * len(starts) + line, number[at[over]] * len(starts) + last[over]))
+        key = np.unique(key)
+        self.lines = key % len(starts)
+        self.begins = np.searchsorted(key, np.arange(int(slots.max()) + 2) * len(starts))
+
+    def postings(self, number: int) -> np.ndarray:
+        """The lines that hold a trigram, in order."""
+        return self.lines[self.begins[number] : self.begins[number + 1]]
 
 
 class TrigramIndex:
-    """The bits of a set of required trigrams, and the test of a query against them."""
-
-    def __init__(self, queries: Iterable[Query]):
-        self.trigrams = sorted({g for query in queries for alternative in query for g in alternative})
-        self.place = {g: divmod(i, WORD_BITS) for i, g in enumerate(self.trigrams)}
-        self.words = -(-len(self.trigrams) // WORD_BITS) or 1
-
-    def build(self, texts: DataFrame, text: str) -> DataFrame:
-        """`texts` with one long per WORD_BITS trigrams, bits0, bits1 ...: which of them the text holds.
-
-        The bits are generated rather than projected, so that a filter on them is not rewritten into a
-        filter on the text that searches it again for every test.
-        """
-        bits = []
-        for word in range(self.words):
-            parts = [
-                F.when(F.contains(F.col("_lowered"), F.lit(g)), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long")
-                for g, (w, bit) in self.place.items()
-                if w == word
-            ]
-            bits.append(reduce(lambda a, b: a.bitwiseOR(b), parts, F.lit(0).cast("long")).alias(f"bits{word}"))
-        lowered = texts.withColumn("_lowered", F.lower(text))
-        return lowered.select(*texts.columns, F.inline(F.array(F.struct(*bits))))
-
-    def may_match(self, query: Query) -> Column:
-        """Whether the postings of one alternative all hold the text."""
-        if query == ANY:
-            return F.lit(True)
-        alternatives = []
-        for grams in sorted(query, key=sorted):
-            masks = [0] * self.words
-            for g in grams:
-                word, bit = self.place[g]
-                masks[word] |= 1 << bit
-            tests = [F.col(f"bits{w}").bitwiseAND(F.lit(m)) == m for w, m in enumerate(masks) if m]
-            alternatives.append(reduce(lambda a, b: a & b, tests))
-        return reduce(lambda a, b: a | b, alternatives)
-
-    def postings(self, indexed: DataFrame, keys: list[str]) -> DataFrame:
-        """(trigram, keys): the inverted form of a text-major index."""
-        present = F.array_compact(
-            F.array(*[F.when(F.col(f"bits{w}").bitwiseAND(F.lit(1 << b)) != 0, F.lit(g)) for g, (w, b) in self.place.items()])
-        )
-        return indexed.select(F.explode(present).alias("trigram"), *keys)
+    """The trigrams that a set of queries requires, numbered by slot, and the queries in these numbers."""
+
+    def __init__(self, queries: Mapping[str, Query]):
+        self.trigrams = sorted({g for query in queries.values() for alternative in query for g in alternative})
+        slot = {g: int(_slots(_points(g))[0]) for g in self.trigrams}
+        numbers = {s: i for i, s in enumerate(sorted(set(slot.values())), 1)}
+        self.number = {g: numbers[s] for g, s in slot.items()}
+        self.slots = np.zeros(1 << 16, dtype=np.int64)
+        for s, n in numbers.items():
+            self.slots[s] = n
+        self.queries = {name: sorted({tuple(sorted({self.number[g] for g in grams})) for grams in query}) for name, query in queries.items()}
+
+    def segment(self, lowered: list[str]) -> Segment:
+        """The postings of lower-cased texts."""
+        return Segment(self.slots, lowered)
+
+    def candidates(self, segment: Segment, name: str) -> np.ndarray:
+        """The lines that hold all trigrams of one of a query's alternatives: postings intersected, the shortest first."""
+        found = [np.zeros(0, dtype=np.int64)]
+        for numbers in self.queries[name]:
+            lists = sorted((segment.postings(n) for n in numbers), key=len)
+            if not lists:
+                return np.arange(len(segment.text))  # nothing is required
+            lines = lists[0]
+            for other in lists[1:]:
+                if not len(lines):
+                    break
+                lines = lines[other[np.minimum(np.searchsorted(other, lines), len(other) - 1)] == lines]
+            found.append(lines)
+        return np.unique(np.concatenate(found))
+
+    def table(self, texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+        """(keys, line_no, numbers): for every line with indexed trigrams their numbers, as rows to be stored."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for low, high, lowered in segments(batch[text]):
+                    segment = self.segment(lowered)
+                    number = np.repeat(np.arange(len(segment.begins) - 1), np.diff(segment.begins))
+                    order = np.argsort(segment.lines, kind="stable")
+                    held, first = np.unique(segment.lines[order], return_index=True)
+                    out = batch.iloc[low:high].iloc[segment.text[held]][keys].reset_index(drop=True)
+                    yield out.assign(line_no=segment.line_no[held], numbers=[x.tolist() for x in np.split(number[order], first[1:])] if len(held) else [])
+
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*keys).schema)
+        return texts.where(F.length(text) > 0).select(*keys, text).mapInPandas(run, f"{fields}, line_no long, numbers array<long>")
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, letter by letter where a letter's lower case is longer."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def segments(texts: Iterable[str], size: int = 1 << 22) -> Iterator[tuple[int, int, list[str]]]:
+    """(from, to, lower-cased texts) of parts of a batch of about `size` characters; a longer text is a part by itself."""
+    held, low, total, i = [], 0, 0, 0
+    for i, text in enumerate(texts, 1):
+        held.append(lowered(text))
+        total += len(text)
+        if total >= size:
+            yield low, i, held
+            held, low, total = [], i, 0
+    if held:
+        yield low, i, held

@@ -101,10 +101,34 @@ def test_required_trigrams_hold_for_matches():
 
 
 def test_postings_are_intersected():
+    texts = [t.lower() for t in [*CASES, *[n for n in NONE if n]]]
+    segment = C.INDEX.segment(texts)
+    lines = [line for t in texts for line in t.split("\n")]
+    assert [(t, n) for t, n in zip(segment.text, segment.line_no)] == [(i, k) for i, t in enumerate(texts) for k in range(1, t.count("\n") + 2)]
+    assert all(texts[t][a:b] == line for t, a, b, line in zip(segment.text, segment.start, segment.end, lines))
+    for gram in C.INDEX.trigrams:
+        held = [i for i, line in enumerate(lines) if gram in line]
+        assert set(held) <= set(segment.postings(C.INDEX.number[gram])), gram
     for rule in C.RULES:
-        least = {min(len(grams), 2) for grams in required(rule.pattern)}
-        assert min(len(grams) for grams in C.QUERIES[rule.name]) >= min(least), rule.name
-    assert any(len(grams) > 1 for query in C.QUERIES.values() for grams in query)
+        wanted = [i for i, line in enumerate(lines) if any(all(g in line for g in grams) for grams in required(rule.pattern))]
+        assert set(wanted) <= set(C.INDEX.candidates(segment, rule.name)), rule.name
+
+
+def test_candidates_lose_nothing():
+    random.seed(2)
+    texts = ["\n".join(random.sample([*CASES, *[n for n in NONE if n], *[t for t, _ in MANY]], 9)) for _ in range(40)] + ["İ" * 3 + "\n" + CASES[0], "\n| Cedarviolet5269? |"]
+    lower = [C.lowered(t) for t in texts]
+    for text, places in zip(texts, C.candidate_places(lower)):
+        assert C.all_credentials(text, places) == C.all_credentials(text)
+    assert [x for x in C.segments(texts, 300)][-1][1] == len(texts)
+
+
+def test_no_length_hides_a_credential():
+    filler = "x" * 10_000
+    for text in (f"{filler}, the password is Maple.calm567! until Friday", f"{filler} Das Passwort lautet Ferry!brisk#5014.", f'url = "https://{filler}:Maple-dusty5356?@h/x"', f'{{"a":"{filler}","password":"Otter-plain#1835x"}}'):
+        assert len(C.find_credentials(text)) == 1
+    away = "The password for the gate " + "and for the door " * 20 + "is Maple.calm567! now."
+    assert len(C.find_credentials(away)) == 1
 
 
 def test_tables(spark):
@@ -116,6 +140,5 @@ def test_tables(spark):
     hits = spark.createDataFrame([(1, CASES[0], "t")], "hit_id long, snippet string, text string")
     docs = spark.createDataFrame([], "prep_id long, content string, item_id long")
     assert rows(C.credentials_in(C.stored_texts(hits, docs)), "item_kind", "item_id", "line_no") == [("hit", 1, 1)]
-    index = C.INDEX.build(df, "text")
-    posted = C.INDEX.postings(index, ["item_id"]).where("item_id = 2")
-    assert {r["trigram"] for r in posted.collect()} == {g for g in C.INDEX.trigrams if g in CASES[2].lower()}
+    stored = {(r["item_id"], r["line_no"]): set(r["numbers"]) for r in C.INDEX.table(df.where("item_kind = 'hit'"), ["item_id"], "text").collect()}
+    assert all(C.INDEX.number[g] in stored[2, 1] for g in C.INDEX.trigrams if g in CASES[2].lower())
