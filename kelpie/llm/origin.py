@@ -1,8 +1,10 @@
 """Generated, minified, vendored and data files among source files (problem 1).
 
-Method: threshold layout statistics (maximum and mean line length, white-space share, alphanumeric
-share, numeric-literal density, long encoded runs, share of table rows and of accessor lines), tuned
-per language; then the marks that tools and packages leave in a file's head and path.
+Method: threshold layout statistics, tuned per language: maximum and mean line length, white-space
+share, alphanumeric share, numeric-literal density, long encoded runs, the share of long lines without
+white space, of rows of literals and of lines that differ from others by their numbers only. They name
+data, minified and generated files by layout; the marks that tools and packages leave in a file's head
+and path, and the list of known third-party files, are the second evidence.
 
 Statistics are sums and maxima over chunks, computed in the scan by built-in functions and combined
 before the shuffle, so a file that holds a third of all chunks costs no more than another.
@@ -10,30 +12,44 @@ before the shuffle, so a file that holds a third of all chunks costs no more tha
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+LONG_LINE = 200  # characters; people break lines before
+
+
 @dataclass(frozen=True)
 class Limits:
     """Thresholds of one language."""
 
-    mean_line: float = 150.0  # minified: mean line above this ...
-    space_share: float = 0.08  # ... and white space below this share of the characters
-    encoded_share: float = 0.6  # data: characters in long encoded runs
-    table_share: float = 0.7  # data: lines that are rows of literals
-    number_share: float = 0.3  # data: literals among literals and words, in such a file
-    accessor_share: float = 0.6  # generated: lines that are numbered accessors
-
-
-# Scripts are minified far more often than the others, and harder, so less evidence is asked of them;
-# indented languages keep white space even in bundles.
+    max_line: float = 300.0  # minified: a line longer than this, and ...
+    mean_line: float = 150.0  # ... a mean line above this or ...
+    dense_share: float = 0.6  # ... so many of the characters in long lines with hardly a space
+    space_share: float = 0.08  # minified: white space below this share of the (long lines') characters
+    alnum_share: float = 0.75  # minified: below this share of the (long lines') characters; above it they are words or data
+    encoded_share: float = 0.6  # data: characters in long encoded runs, of a file that is ...
+    encoded_alnum: float = 0.8  # ... letters and digits to this share, or has all but no white space
+    table_share: float = 0.7  # data: lines that are rows of literals, and ...
+    number_share: float = 0.3  # ... literals among literals and words
+    repeat_share: float = 0.6  # generated: lines that equal another but for their numbers
+
+
+# Scripts are minified far more often than the others, and harder, so less evidence is asked of them.
+# Indentation carries meaning in Python and is deep in C# and Java, so white space stays there even in
+# bundles. Go and Rust are formatted by tools: their lines are short, their error handling and match
+# arms repeat, so long lines say more there and repeats less.
 LIMITS = {
-    "javascript": Limits(mean_line=120.0, space_share=0.10),
-    "typescript": Limits(mean_line=120.0, space_share=0.10),
+    "javascript": Limits(mean_line=120.0, space_share=0.10, dense_share=0.5),
+    "typescript": Limits(mean_line=120.0, space_share=0.10, dense_share=0.5),
     "python": Limits(mean_line=160.0, space_share=0.06),
+    "java": Limits(max_line=320.0, mean_line=160.0, space_share=0.09),
+    "csharp": Limits(max_line=320.0, mean_line=160.0, space_share=0.09),
+    "go": Limits(max_line=260.0, mean_line=130.0, repeat_share=0.65),
+    "rust": Limits(max_line=260.0, mean_line=130.0, repeat_share=0.65),
 }
 
 # File extensions, and the other spellings of languages, by language.
@@ -108,7 +124,6 @@ _NUMBER = r"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?)(?![\w.])"
 _WORD = r"[A-Za-z_]\w*"
 _ENCODED = r"[A-Za-z0-9+/=_\-]{64,}"
 _ROW = r"(?m)^[ \t]*(?:[\[{(]*-?(?:0[xX][0-9a-fA-F]+|\d)[ \t\d.,xXa-fA-F\-\]})]*|\{[ \t]*\"\w+\":.*\}),?[ \t]*$"
-_ACCESSOR = r"(?m)^.*(?:(?i:field)_?\d+\b|\bregister\w*\(0x[0-9a-fA-F]+|\bslot_?\d+\b).*$"
 _HEAD = r"^(?:\s*(?://|#|/\*|\*|--|<!--|;)[^\n]*(?:\n|$))+"
 
 
@@ -143,21 +158,27 @@ def _any(patterns: list[str]) -> str:
 def chunk_statistics(chunks: DataFrame) -> DataFrame:
     """Per chunk: counts that add up over a file, and the comment lines at its start."""
     body = F.col("body")
-    lines = F.split(body, "\n")
+    long_lines = F.filter("_lines", lambda line: F.length(line) > LONG_LINE)
+    bare = lambda line: F.length(F.translate(line, " \t", ""))
+    dense = F.filter(long_lines, lambda line: F.length(line) - bare(line) < 0.1 * F.length(line))
+    total = lambda lines: F.aggregate(lines, F.lit(0), lambda n, line: n + F.length(line))
+    numbered = F.transform(F.filter("_lines", lambda line: line.rlike("[0-9]")), lambda line: F.regexp_replace(F.trim(line), r"0[xX][0-9a-fA-F]+|\d+", "#"))
     removed = lambda pattern: F.length(body) - F.length(F.regexp_replace(body, pattern, ""))
-    return chunks.select("id", "file_id", chunk_body(F.col("embed_text")).alias("body")).select(
+    return chunks.select("id", "file_id", chunk_body(F.col("embed_text")).alias("body")).withColumn("_lines", F.split("body", "\n")).select(
         "id",
         "file_id",
         F.length(body).cast("long").alias("chars"),
-        F.size(lines).cast("long").alias("lines"),
-        F.array_max(F.transform(lines, F.length)).alias("max_line"),
+        F.size("_lines").cast("long").alias("lines"),
+        F.array_max(F.transform("_lines", F.length)).alias("max_line"),
+        total(dense).cast("long").alias("dense"),
+        total(F.transform(dense, lambda line: F.regexp_replace(line, "[^A-Za-z0-9]+", ""))).cast("long").alias("dense_alnum"),
+        (F.size(numbered) - F.size(F.array_distinct(numbered))).cast("long").alias("repeats"),
         removed(r"\s+").alias("spaces"),
         removed(r"[A-Za-z0-9]+").alias("alnum"),
         F.regexp_count(body, F.lit(_NUMBER)).alias("numbers"),
         F.regexp_count(F.regexp_replace(body, r'"[^"\n]*"', '""'), F.lit(_WORD)).alias("words"),
         removed(_ENCODED).alias("encoded"),
         F.regexp_count(body, F.lit(_ROW)).alias("rows"),
-        F.regexp_count(body, F.lit(_ACCESSOR)).alias("accessors"),
         F.regexp_count(body, F.lit(r"(?m)^[ \t]*(?://|#|/\*|\*|$)")).alias("remarks"),
         F.regexp_extract(body, _HEAD, 0).alias("head"),
     )
@@ -165,7 +186,7 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
 
 def file_statistics(chunks: DataFrame) -> DataFrame:
     """Per file: layout statistics over all its chunks, and the head of its first chunk."""
-    sums = ["chars", "lines", "spaces", "alnum", "numbers", "words", "encoded", "rows", "accessors", "remarks"]
+    sums = ["chars", "lines", "spaces", "alnum", "numbers", "words", "encoded", "rows", "dense", "dense_alnum", "repeats", "remarks"]
     return (
         chunk_statistics(chunks)
         .groupBy("file_id")
@@ -186,7 +207,9 @@ def file_statistics(chunks: DataFrame) -> DataFrame:
             (F.col("numbers") / F.greatest(F.col("numbers") + F.col("words"), F.lit(1))).alias("number_share"),
             (F.col("encoded") / F.greatest(F.col("chars") - F.col("spaces"), F.lit(1))).alias("encoded_share"),
             (F.col("rows") / F.greatest(F.col("lines") - F.col("remarks"), F.lit(1))).alias("table_share"),
-            (F.col("accessors") / F.greatest(F.col("lines") - F.col("remarks"), F.lit(1))).alias("accessor_share"),
+            (F.col("dense") / F.greatest("chars", F.lit(1))).alias("dense_share"),
+            (F.col("dense_alnum") / F.greatest("dense", F.lit(1))).alias("dense_alnum_share"),
+            (F.col("repeats") / F.greatest(F.col("lines") - F.col("remarks"), F.lit(1))).alias("repeat_share"),
         )
     )
 
@@ -226,10 +249,15 @@ def file_origins(files: DataFrame, chunks: DataFrame, upstream: DataFrame) -> Da
     )
     head = F.coalesce(F.col("head"), F.lit(""))
     own = head.rlike(_any(OWN_MARKS))
-    minified = (F.col("mean_line") > _limit("mean_line")) & (F.col("space_share") < _limit("space_share"))
-    table = (F.col("table_share") > _limit("table_share")) & (F.col("number_share") > _limit("number_share"))
-    blob = F.col("encoded_share") > _limit("encoded_share")
-    accessors = (F.col("accessor_share") > _limit("accessor_share")) & (F.col("lines") >= 8)
+    limit = {f.name: _limit(f.name) for f in dataclasses.fields(Limits)}
+    spaceless = F.col("space_share") < limit["space_share"]
+    minified = (F.col("max_line") > limit["max_line"]) & (
+        ((F.col("mean_line") > limit["mean_line"]) & spaceless & (F.col("alnum_share") < limit["alnum_share"]))
+        | ((F.col("dense_share") > limit["dense_share"]) & (F.col("dense_alnum_share") < limit["alnum_share"]))
+    )
+    table = (F.col("table_share") > limit["table_share"]) & (F.col("number_share") > limit["number_share"])
+    blob = (F.col("encoded_share") > limit["encoded_share"]) & ((F.col("alnum_share") > limit["encoded_alnum"]) | spaceless)
+    repeated = F.col("repeat_share") > limit["repeat_share"]
     tool = head.rlike(_any(TOOL_MARKS)) & ~own
     vendored = F.col("_known").isNotNull() | F.col("_package").isNotNull() | (F.col("_noted").isNotNull() & ~own)
     yes = lambda c: F.coalesce(c, F.lit(False))
@@ -245,10 +273,11 @@ def file_origins(files: DataFrame, chunks: DataFrame, upstream: DataFrame) -> Da
         "number_share",
         "encoded_share",
         "table_share",
-        "accessor_share",
+        "dense_share",
+        "repeat_share",
         F.when(yes(blob | table), "data")
         .when(yes(minified) | F.col("_path").rlike(_any(BUNDLE_PATHS)), "minified")
-        .when(yes(tool | accessors) | F.col("_path").rlike(_any(TOOL_PATHS)), "generated")
+        .when(yes(tool | repeated) | F.col("_path").rlike(_any(TOOL_PATHS)), "generated")
         .when(yes(vendored), "vendored")
         .otherwise("hand")
         .alias("origin"),

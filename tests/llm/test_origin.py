@@ -27,6 +27,16 @@ def test_layout(spark):
     ) == ["hand", "data", "minified", "data", "generated", "hand", "hand"]
 
 
+def test_layout_of_parts(spark):
+    licence = "// words of a licence that goes on for long\n" * 40
+    few = "\n".join(f"let v{i} = read({i});" for i in range(5))
+    assert found(
+        spark, ("a/1.js", None, "1", licence + MINIFIED * 2), ("a/2.js", None, "2", few), ("a/3.rs", None, "3", "let a = 1;\nlet b = a + 1;\nlet c = f(b);"),
+        ("a/4.go", None, "4", HAND + 'var text = "' + "a long text of many words that someone wrote " * 12 + '"'), ("a/5.cs", None, "5", " " * 40 + MINIFIED), ("a/6.java", None, "6", "int a = 1;" * 3),
+    ) == ["minified", "generated", "hand", "hand", "minified", "hand"]
+    assert set(origin.LIMITS) == set(origin.LANGUAGES)
+
+
 def test_marks(spark):
     assert found(
         spark, ("a/1.py", None, "1", "# Code generated by tool. DO NOT EDIT.\n" + HAND), ("a/2.py", None, "2", "# Originally generated, maintained by hand since.\n" + HAND),
