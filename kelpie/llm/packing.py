@@ -109,10 +109,10 @@ def pack(items: DataFrame, capacity: int, item: str = "doc_id", length: str = "n
     sized = cut(items.select(F.col(item).alias("_item"), whole.alias("_whole"), rest.alias("_rest")))
     counts = {int(r["_rest"]): int(r["n"]) for r in sized.where("_rest > 0").groupBy("_rest").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = plan_containers(counts, capacity)  # at most capacity - 1 counts, whatever the items
-    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for key in counts:
-        rows = [r[1:] for r in plan.ranges if r[0] == key]
-        by_length[key] = tuple(np.array(column, dtype=np.int64) for column in zip(*rows))
+    ranges: dict[int, list[tuple[int, int, int]]] = {}
+    for key, *row in plan.ranges:
+        ranges.setdefault(key, []).append(tuple(row))
+    by_length = {key: tuple(np.array(column, dtype=np.int64) for column in zip(*rows)) for key, rows in ranges.items()}
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,5 +152,5 @@ def pack(items: DataFrame, capacity: int, item: str = "doc_id", length: str = "n
 
 
 def oversized(packed: DataFrame, item: str = "doc_id") -> DataFrame:
-    """The items that were split because they alone exceed a container."""
-    return packed.where("n_pieces > 1 and piece_no = 0").select(item).distinct()
+    """The items that lie in several containers, as only items larger than a container do."""
+    return packed.groupBy(item).agg(F.count_distinct("container_id").alias("_containers")).where("_containers > 1").select(item)

@@ -65,12 +65,19 @@ def bisect(start: int, end: int, room: int, strength: Callable[[int], int]) -> l
     return sorted(done)
 
 
+def _room(limit: int, overlap: int) -> int:
+    """What a piece may hold besides its overlap; ValueError where nothing is left."""
+    if not 0 <= overlap < limit:
+        raise ValueError(f"an overlap of {overlap} leaves no room within a limit of {limit}")
+    return limit - overlap
+
+
 def text_pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """Character ranges of a text's pieces: a blank line is the strongest cut, then a line end, a
     sentence end, white space. The text itself if it is within the limit."""
+    room = _room(limit, overlap)
     if len(text) <= limit:
         return [(0, len(text))]
-    room = max(1, limit - overlap)
     marks = bytearray(len(text) + 1)
     for rank, pattern in ((1, r"\s+"), (2, r"[.!?;:]['\")\]]*\s+"), (3, r"\n"), (4, r"\n[ \t]*\n\s*")):
         for match in re.finditer(pattern, text):
@@ -82,6 +89,7 @@ def text_pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
 def line_pieces(first: int, last: int, limit: int, overlap: int, body: list[str] | None, body_start: int) -> list[tuple[int, int]]:
     """Line ranges (inclusive) of a hit's pieces; blank lines are the strongest cuts, then lines that
     begin at the margin. Without the chunk's text all cuts are equal and halves result."""
+    room = _room(limit, overlap)
     if last - first + 1 <= limit:
         return [(first, last)]
 
@@ -93,7 +101,7 @@ def line_pieces(first: int, last: int, limit: int, overlap: int, body: list[str]
             return 3
         return 2 if body[i][:1].strip() and not body[i][0] in "})]" else 1 if not body[i].strip() else 0
 
-    cuts = bisect(first, last + 1, max(1, limit - overlap), strength)
+    cuts = bisect(first, last + 1, room, strength)
     return [(a if i == 0 else max(first, a - overlap), b - 1) for i, (a, b) in enumerate(cuts)]
 
 
@@ -144,7 +152,7 @@ def hit_pieces(hits: DataFrame, chunks: DataFrame, limit: int, overlap: int, wit
             for item, first, last, text, text_start in zip(
                 batch["hit_id"], batch["start_line"], batch["end_line"], batch["embed_text"], batch["chunk_start"]
             ):
-                body = text.partition("\n\n")[2].split("\n") if isinstance(text, str) else None
+                body = (text.partition("\n\n")[2] if "\n\n" in text else text).split("\n") if isinstance(text, str) else None
                 from_line = int(text_start) if body is not None and text_start == text_start else int(first)
                 ranges = line_pieces(int(first), int(last), limit, overlap, body, from_line)
                 for i, (a, b) in enumerate(ranges):
@@ -164,9 +172,13 @@ def limits(size_limits: DataFrame, item_kind: str) -> tuple[int, int]:
 
 
 def all_pieces(docs: DataFrame, hits: DataFrame, chunks: DataFrame, size_limits: DataFrame, with_text: bool = True) -> DataFrame:
-    """Pieces of sections and of oversized hits, under the limits of `size_limits`."""
+    """Pieces of sections and of oversized hits, under the limits of `size_limits`.
+
+    ValueError for a kind whose overlap isn't smaller than its limit, or that has no limit.
+    """
     section_limit, section_overlap = limits(size_limits, "section")
     hit_limit, hit_overlap = limits(size_limits, "hit")
+    _room(section_limit, section_overlap), _room(hit_limit, hit_overlap)
     return section_pieces(docs, section_limit, section_overlap, with_text).unionByName(
         hit_pieces(hits, chunks, hit_limit, hit_overlap, with_text)
     )

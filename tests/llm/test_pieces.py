@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,3 +60,11 @@ def test_found(spark):
     assert {r["piece_text"] for r in made if r["item_kind"] == "hit" and r["item_id"] == 4} == {None}
     none = pieces.oversized_items(docs.limit(0), hits.limit(0), chunks.limit(0), limits)
     assert none.count() == 0
+
+
+def test_no_room():
+    for limit, overlap in ((100, 100), (100, 130), (5, -1)):
+        with pytest.raises(ValueError):
+            pieces.text_pieces("a" * 2000, limit, overlap)
+        with pytest.raises(ValueError):
+            pieces.line_pieces(1, 2000, limit, overlap, None, 1)
