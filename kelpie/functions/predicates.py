@@ -8,8 +8,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Folders and file names that count as tests, and file endings by language.
-TEST_PATH = r"(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$"
+# Top folders whose files count as tests, the default deny list, and file endings by language.
+TEST_FOLDERS = ["tests/", "benches/", "examples/"]
+DEFAULT_DENY = [
+    ".env", ".env.*", "*.pem", "*.key", "*.p12", "*.pfx", "id_rsa", "id_rsa.*", "id_dsa", "id_dsa.*", "id_ecdsa", "id_ecdsa.*",
+    "id_ed25519", "id_ed25519.*", "secrets/**", ".aws/credentials", ".gcloud/credentials*", ".gnupg/**",
+]
 LANGUAGE_OF_EXTENSION = {
     "rs": "rust", "cs": "csharp", "java": "java", "ts": "typescript", "tsx": "typescript", "js": "javascript",
     "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go",
@@ -47,31 +51,41 @@ def has_all(text: Column, needles: list[str]) -> Column:
     return F.coalesce(reduce(lambda a, b: a & b, tests, text.isNotNull()), F.lit(False))
 
 
+def _bracket(pattern: str, at: int) -> tuple[str, int]:
+    """The class that opens at `at`, and the place after it; a closing bracket that comes first is a member."""
+    start = at + 2 if pattern[at + 1 : at + 2] in ("!", "^") else at + 1
+    close = pattern.find("]", start + 1)
+    if close < 0:
+        raise ValueError(f"open bracket in {pattern!r}")
+    members = re.sub(r"([\\\[\]^&])", r"\\\1", pattern[start:close])
+    return f"[{'^' if start > at + 1 else ''}{members}]", close + 1
+
+
 def glob_regex(pattern: str) -> str:
-    """The regular expression of a glob; ValueError for an open bracket, so a bad list denies nothing by accident."""
-    out, i = "", 0
-    while i < len(pattern):
-        c = pattern[i]
-        if pattern.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-            continue
-        if pattern.startswith("**", i):
-            out, i = out + ".*", i + 2
-            continue
-        if c == "*":
-            out += ".*"
-        elif c == "?":
-            out += "."
-        elif c == "[":
-            close = pattern.find("]", i + 2)
-            if close < 0:
-                raise ValueError(f"open bracket in {pattern!r}")
-            inner = pattern[i + 1 : close]
-            out += "[" + ("^" + inner[1:] if inner[0] in "!^" else inner).replace("\\", "\\\\") + "]"
-            i = close
+    """The regular expression of a glob: *, ?, **, classes and alternatives in braces, which may be nested.
+
+    ValueError for an open bracket or brace, so that a bad list never denies less than it says.
+    """
+    out, depth, at = "", 0, 0
+    while at < len(pattern):
+        if pattern.startswith("**/", at):
+            out, at = out + "(?:.*/)?", at + 3
+        elif pattern.startswith("**", at):
+            out, at = out + ".*", at + 2
+        elif pattern[at] == "[":
+            part, at = _bracket(pattern, at)
+            out += part
+        elif pattern[at] == "\\" and at + 1 < len(pattern):
+            out, at = out + re.escape(pattern[at + 1]), at + 2
         else:
-            out += re.escape(c)
-        i += 1
+            c = pattern[at]
+            depth += (c == "{") - (c == "}")
+            if depth < 0:
+                raise ValueError(f"closing brace in {pattern!r}")
+            special = {"*": ".*", "?": ".", "{": "(?:", "}": ")"} | ({",": "|"} if depth else {})
+            out, at = out + special.get(c, re.escape(c)), at + 1
+    if depth:
+        raise ValueError(f"open brace in {pattern!r}")
     return out
 
 
@@ -79,22 +93,24 @@ def deny_regex(globs: list[str]) -> str:
     """One expression that matches a path if a glob matches the path or what follows any of its slashes."""
     if not globs:
         return r"(?!)"
-    return "(^|/)(?:" + "|".join(f"(?:{glob_regex(g)})" for g in globs) + ")$"
+    return "(?s)(^|/)(?:" + "|".join(f"(?:{glob_regex(g)})" for g in globs) + r")\z"
 
 
 def is_denied(path: Column, globs: list[str]) -> Column:
-    """Whether a deny list covers a path; a leading './' doesn't count. Null paths aren't denied."""
-    return F.coalesce(F.regexp_replace(path, r"^\./", "").rlike(deny_regex(globs)), F.lit(False))
+    """Whether a deny list covers a path; leading './' don't count, however many. Null paths aren't denied."""
+    return F.coalesce(F.regexp_replace(path, r"^(?:\./)+", "").rlike(deny_regex(globs)), F.lit(False))
+
+
+def is_test_path(path: Column) -> Column:
+    """Whether a repository's path lies in a top folder of tests; folders of that name further down are none."""
+    return reduce(lambda a, b: a | b, (F.startswith(path, F.lit(f)) for f in TEST_FOLDERS))
 
 
 def path_class(path: Column) -> Column:
-    """test, minified, path or text: what a string looks like as a path."""
-    return (
-        F.when(path.rlike(TEST_PATH), "test")
-        .when(path.contains(".min."), "minified")
-        .when(path.rlike(r"[/\\]") | path.rlike(r"\.[A-Za-z0-9]{1,5}$"), "path")
-        .otherwise("text")
-    )
+    """test, minified (by the file's own name), path or text: what a string looks like as a path."""
+    name = F.element_at(F.split(path, "/"), -1)
+    looks = path.contains("/") | path.contains("\\") | path.contains(".")
+    return F.when(is_test_path(path), "test").when(name.contains(".min."), "minified").when(looks, "path").otherwise("text")
 
 
 def language_of(path: Column) -> Column:

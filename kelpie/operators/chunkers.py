@@ -88,14 +88,13 @@ def line_windows(text: str | None, lines: int = 50, size: int = 4000) -> list[tu
             flush(number - 1)
             start = number
         if weight > size:
-            piece = ""
-            for char in line:
-                if len((piece + char).encode()) > size:
-                    out.append((number, number, piece))
-                    piece = ""
-                piece += char
-            if piece:
-                out.append((number, number, piece))
+            raw, at = line.encode(), 0
+            while at < len(raw):
+                end = min(at + size, len(raw))
+                while end < len(raw) and raw[end] & 0xC0 == 0x80:  # inside a character
+                    end -= 1
+                out.append((number, number, raw[at:end].decode()))
+                at = end
             start = number + 1
             continue
         held.append(line)
@@ -194,9 +193,11 @@ def explode_chunks(df: DataFrame, keep: str, inputs: list[str], chunk: Callable[
 
 
 def fixed_windows(df: DataFrame, keep: str, text: str, lines: int = 50) -> DataFrame:
-    """Line windows where no byte limit is asked for, by built-in functions alone: key, ord, first, last, n_lines."""
-    numbered = df.select(keep, F.posexplode(F.split(text, "\n")).alias("i", "line"))
-    return (
-        numbered.groupBy(keep, F.floor(F.col("i") / lines).alias("ord"))
-        .agg((F.min("i") + 1).cast("long").alias("first_line"), (F.max("i") + 1).cast("long").alias("last_line"), F.count(F.lit(1)).alias("n_lines"))
-    )
+    """Line windows where no byte limit is asked for, by built-in functions alone: key, ord, first, last, n_lines.
+
+    A text's windows follow from its number of lines, so no line leaves its row.
+    """
+    counted = df.where(F.col(text).isNotNull()).select(keep, F.size(F.split(text, "\n")).cast("long").alias("_n"))
+    numbered = counted.select(keep, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / lines))).alias("ord"))
+    last = F.least((F.col("ord") + 1) * lines, F.col("_n"))
+    return numbered.select(keep, "ord", (F.col("ord") * lines + 1).alias("first_line"), last.alias("last_line"), (last - F.col("ord") * lines).alias("n_lines"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpie.operators.series import so_far
+
 
 def attribute_to_intervals(
     events: DataFrame, intervals: DataFrame, key: list[str], at: str, start: str, end: Column, event_id: str, take: str, bucket_hours: int = 12
@@ -32,16 +34,16 @@ def attribute_to_intervals(
 def next_at_or_after(points: DataFrame, marks: DataFrame, key: str, x: str, mark_x: str, mark_id: str, rank: str) -> DataFrame:
     """(mark_id, rank): for each mark the first point at or after it, else the key's last point.
 
-    One descending sort of both sides by key and position carries the answer along; nothing is paired.
+    The marks are put among the points, from the last to the first, and the least rank so far is the
+    answer; nothing is paired and no key is sorted in one place.
     """
     both = points.select(key, F.col(x).alias("_x"), F.lit(1).alias("_kind"), F.col(rank).alias("_rank"), F.lit(None).cast("long").alias(mark_id)).unionByName(
         marks.select(key, F.col(mark_x).alias("_x"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_rank"), F.col(mark_id))
     )
-    order = Window.partitionBy(key).orderBy(F.desc("_x"), F.desc("_kind"), F.desc("_rank"))
-    nearest = order.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(key)
-    found = F.coalesce(F.last("_rank", ignorenulls=True).over(nearest), F.max("_rank").over(whole))
-    return both.withColumn(rank, found).where("_kind = 0").where(F.col(rank).isNotNull()).select(mark_id, rank)
+    order = [-F.col("_x"), -F.col("_kind"), -F.col("_rank"), F.col(mark_id)]
+    found = so_far(both, key, order, {"_near": ("min", F.col("_rank"))}, {"_last": ("max", F.col("_rank"))})
+    answer = found.where("_kind = 0").select(mark_id, F.coalesce("_near", "_last").alias(rank))
+    return answer.where(F.col(rank).isNotNull())
 
 
 def change_classes(now: DataFrame, before: DataFrame, key: str, content: str, stamp: str) -> DataFrame:

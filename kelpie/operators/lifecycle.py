@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,19 @@ def keep_recent(table: DataFrame, at: str, cutoff: Column, days: int, open_colum
     return table.where(kept | F.col(open_column).isNull() if open_column else kept)
 
 
+def freed_by_keeping(table: DataFrame, group: str, newest: list[Column], keep: int, size: str) -> DataFrame:
+    """(group, freed, freed_bytes): what goes where the newest `keep` rows of each group stay; groups that lose nothing have no row.
+
+    Only the rows that stay are ranked, pruned to `keep` per group before the shuffle; the rest is what
+    remains of the group's sums.
+    """
+    kept = table.select(group, size, F.row_number().over(Window.partitionBy(group).orderBy(*newest)).alias("_rn")).where(F.col("_rn") <= keep)
+    sums = lambda df: df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
+    staying = sums(kept).select(F.col(group).alias("_group"), F.col("n").alias("_n"), F.coalesce("bytes", F.lit(0)).alias("_bytes"))
+    joined = sums(table).join(staying, F.col(group).eqNullSafe(F.col("_group")))
+    return joined.where("n > _n").select(group, (F.col("n") - F.col("_n")).alias("freed"), (F.col("bytes") - F.col("_bytes")).alias("freed_bytes"))
+
+
 def orphans(child: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the child without a parent; keys are never null in the store."""
     return child.join(parents.select(*keys).distinct(), keys, "left_anti")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kelpie.functions.predicates import blank_label, deny_regex, has_all, is_accepted, is_denied, is_stale, path_class, within_days
+from kelpie.functions.predicates import DEFAULT_DENY, blank_label, has_all, is_accepted, is_denied, is_stale, path_class, within_days
 from kelpie.functions.scalars import tokens
 from kelpie.operators import joins, lifecycle, series
 from kelpie.plans.base import EVENTS_AS_OF, ORDERS_AS_OF, Family, events_now, orders_now
 
 family = Family()
 query = family.query
-DENY = ["*.pem", "**/secrets/**", "tests/*", "*_test.*", "[a-c]*_min*.go"]
+DENY = [*DEFAULT_DENY, "tests/*", "*_test.{py,go}", "[a-c]*_min*.go", "store/{cache,**/window}*"]
 TASKS = f"""(SELECT o_orderkey AS id, o_custkey AS owner, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'blocked' END AS status,
   o_orderpriority AS source, o_orderdate AS verified_at, o_totalprice AS value,
   CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey + 1 END AS superseded_by FROM orders)"""
@@ -66,17 +66,28 @@ def _(t):
     return t.documents.groupBy(*flags).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("B08_deny_glob", f"SELECT id, CASE WHEN regexp_matches(regexp_replace(path, '^\\./', ''), '{deny_regex(DENY)}') THEN 1 ELSE 0 END AS denied FROM indexed_files")
+@query("B08_deny_glob", r"""
+SELECT id, CASE WHEN len(list_filter(suffixes, lambda s: s <> '' AND (
+  list_contains(['.env', 'id_rsa', 'id_dsa', 'id_ecdsa', 'id_ed25519', '.aws/credentials'], s)
+  OR starts_with(s, '.env.') OR starts_with(s, 'id_rsa.') OR starts_with(s, 'id_dsa.') OR starts_with(s, 'id_ecdsa.') OR starts_with(s, 'id_ed25519.')
+  OR ends_with(s, '.pem') OR ends_with(s, '.key') OR ends_with(s, '.p12') OR ends_with(s, '.pfx')
+  OR starts_with(s, 'secrets/') OR starts_with(s, '.gnupg/') OR starts_with(s, '.gcloud/credentials') OR starts_with(s, 'tests/') OR ends_with(s, '_test.py') OR ends_with(s, '_test.go')
+  OR (left(s, 1) BETWEEN 'a' AND 'c' AND ends_with(s, '.go') AND contains(substr(s, 2), '_min'))
+  OR starts_with(s, 'store/cache') OR (starts_with(s, 'store/') AND (starts_with(substr(s, 7), 'window') OR contains(substr(s, 7), '/window')))))) > 0 THEN 1 ELSE 0 END AS denied
+FROM (SELECT id, list_transform(range(1, len(parts) + 1), lambda i: array_to_string(parts[i:], '/')) AS suffixes
+  FROM (SELECT id, string_split(regexp_replace(path, '^(\./)+', ''), '/') AS parts FROM indexed_files))""")
 def _(t):
     return t.indexed_files.select("id", is_denied(F.col("path"), DENY).cast("int").alias("denied"))
 
 
 @query("B09_path_class", r"""
-SELECT id, CASE WHEN regexp_matches(path, '(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$') THEN 'test'
-  WHEN contains(path, '.min.') THEN 'minified' WHEN regexp_matches(path, '[/\\]') OR regexp_matches(path, '\.[A-Za-z0-9]{1,5}$') THEN 'path' ELSE 'text' END AS class
-FROM indexed_files""")
+SELECT id, CASE WHEN starts_with(path, 'tests/') OR starts_with(path, 'benches/') OR starts_with(path, 'examples/') THEN 'test'
+  WHEN contains(string_split(path, '/')[-1], '.min.') THEN 'minified' WHEN contains(path, '/') OR contains(path, '\') OR contains(path, '.') THEN 'path' ELSE 'text' END AS class
+FROM (SELECT id, path FROM indexed_files UNION ALL SELECT -id, regexp_replace(path, '^[^/]*/[^/]*/', '') FROM indexed_files UNION ALL SELECT -1000000 - doc_id, title FROM documents WHERE title IS NOT NULL)""")
 def _(t):
-    return t.indexed_files.select("id", path_class(F.col("path")).alias("class"))
+    below = t.indexed_files.select((-F.col("id")).alias("id"), F.regexp_replace("path", "^[^/]*/[^/]*/", "").alias("path"))  # as seen from a project's own folder
+    titles = t.documents.where("title is not null").select((-1_000_000 - F.col("doc_id")).alias("id"), F.col("title").alias("path"))
+    return t.indexed_files.select("id", "path").unionByName(below).unionByName(titles).select("id", path_class(F.col("path")).alias("class"))
 
 
 @query("B10_and_terms", """
@@ -281,7 +292,7 @@ ASOF LEFT JOIN (SELECT grp, x, MIN(rk) AS rk FROM p GROUP BY 1, 2) n ON m.grp =
 JOIN (SELECT grp, MAX(rk) AS rk FROM p GROUP BY 1) l ON l.grp = m.grp""")
 def _(t):
     turns = t.session_turn_metrics.where("ts is not null").select(F.col("project_id").alias("grp"), F.col("id").alias("turn"), F.unix_micros("ts").alias("x"))
-    ranked = turns.withColumn("rk", F.row_number().over(Window.partitionBy("grp").orderBy("x", "turn")).cast("long"))
+    ranked = series.so_far(turns, "grp", [F.col("x"), F.col("turn")], {"rk": ("sum", F.lit(1).cast("long"))})
     marks = turns.select("grp", F.col("turn").alias("mark"), (F.col("x") - 1_800_000_000).alias("mx"))
     return joins.next_at_or_after(ranked, marks, "grp", "x", "mx", "mark", "rk")
 
@@ -511,9 +522,7 @@ def _(t):
 SELECT project_id, COUNT(*) AS freed, SUM(size)::BIGINT AS freed_bytes FROM (
   SELECT project_id, size, row_number() OVER (PARTITION BY project_id ORDER BY mtime DESC, id DESC) AS rn FROM indexed_files) WHERE rn > 20 GROUP BY project_id""")
 def _(t):
-    newest = Window.partitionBy("project_id").orderBy(F.desc("mtime"), F.desc("id"))
-    old = t.indexed_files.select("project_id", "size", F.row_number().over(newest).alias("rn")).where("rn > 20")
-    return old.groupBy("project_id").agg(F.count(F.lit(1)).alias("freed"), F.sum("size").alias("freed_bytes"))
+    return lifecycle.freed_by_keeping(t.indexed_files, "project_id", [F.desc("mtime"), F.desc("id")], 20, "size")
 
 
 @query("D28_vector_mean", """

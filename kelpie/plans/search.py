@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kelpie.functions.predicates import TEST_PATH, days_between, is_stale
+from kelpie.functions.predicates import days_between, is_stale, is_test_path
 from kelpie.functions.scalars import age_decay, tokens
 from kelpie.operators import joins, rerank, retrieval
 from kelpie.operators.retrieval import Weights
@@ -158,17 +158,14 @@ def _hybrid(t, candidates):
     return retrieval.top_per_query(scored, [F.desc("score"), F.col("id")], 10).select("query_id", "rank", "id", "score")
 
 
-_TESTS = TEST_PATH.replace("'", "''")
-
-
 @query("I07_code_fusion", f"""
 SELECT query_id, rank, hit_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id, hit_id) AS rank FROM (
-  SELECT query_id, hit_id, chunk_id, round((0.4 * fts01 + 0.6 * LEAST(1, GREATEST(0, vector_score))) * CASE WHEN regexp_matches(path, '{_TESTS}') THEN 0.9 ELSE 1 END, 6) AS score FROM (
+  SELECT query_id, hit_id, chunk_id, round((0.4 * fts01 + 0.6 * LEAST(1, GREATEST(0, vector_score))) * CASE WHEN string_split(own, '/')[1] IN ('tests', 'benches', 'examples') AND contains(own, '/') THEN 0.9 ELSE 1 END, 6) AS score FROM (
     SELECT *, CASE WHEN hi = lo THEN 1 ELSE (hi - fts_score) / (hi - lo) END AS fts01 FROM (
-      SELECT *, MIN(fts_score) OVER (PARTITION BY query_id) AS lo, MAX(fts_score) OVER (PARTITION BY query_id) AS hi FROM locate_hits)))) WHERE rank <= 10""")
+      SELECT *, MIN(fts_score) OVER (PARTITION BY query_id) AS lo, MAX(fts_score) OVER (PARTITION BY query_id) AS hi FROM (SELECT *, regexp_replace(path, '^[^/]*/[^/]*/', '') AS own FROM locate_hits))))) WHERE rank <= 10""")
 def _(t):
     pool = t.locate_hits.select("query_id", "hit_id", "chunk_id", "path", F.col("fts_score").alias("bm25"), F.col("vector_score").alias("cos"))
-    scored = retrieval.fused_code(retrieval.normalised(pool, ["query_id"]), Weights(text=0.4, vector=0.6), F.col("path").rlike(TEST_PATH))
+    scored = retrieval.fused_code(retrieval.normalised(pool, ["query_id"]), Weights(text=0.4, vector=0.6), is_test_path(F.regexp_replace("path", "^[^/]*/[^/]*/", "")))  # the path within its project
     top = retrieval.top_per_query(scored.withColumn("score", F.round("score", 6)), [F.desc("score"), F.col("chunk_id"), F.col("hit_id")], 10)
     return top.select("query_id", "rank", "hit_id", "score")
 

@@ -26,12 +26,28 @@ def _(t):
 
 
 @query("J03_line_windows", """
-SELECT prep_id, (i - 1) // 50 AS ord, MIN(i) AS first_line, MAX(i) AS last_line, COUNT(*) AS n_lines
-FROM (SELECT prep_id, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM prepared_docs) GROUP BY 1, 2""")
+SELECT prep_id, k AS ord, k * 50 + 1 AS first_line, LEAST((k + 1) * 50, lines) AS last_line, LEAST((k + 1) * 50, lines) - k * 50 AS n_lines
+FROM (SELECT prep_id, lines, unnest(range(0, (lines + 49) // 50)) AS k FROM (SELECT prep_id, len(string_split(content, chr(10))) AS lines FROM prepared_docs))""")
 def _(t):
     return chunkers.fixed_windows(t.prepared_docs, "prep_id", "content")
 
 
+@query("J03_sized_windows", """
+WITH l AS (SELECT prep_id, i, octet_length(encode(lines[i])) + 1 AS w FROM (SELECT prep_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT prep_id, string_split(content, chr(10)) AS lines FROM prepared_docs)))
+SELECT prep_id, SUM(CASE WHEN w > 4000 THEN 0 ELSE 1 END)::BIGINT AS plain_lines, 0 AS too_many_lines, 0 AS too_large, 0 AS lost FROM l GROUP BY prep_id HAVING COUNT(*) > 1 OR MAX(w) > 1""")
+def _(t):
+    # what holds of all windows: none has over 50 lines or 4,000 bytes, and together they are the text but for blank windows
+    rows = chunkers.explode_chunks(t.prepared_docs, "prep_id", ["content"], chunkers.line_windows, "first_line long, last_line long, body string")
+    windows = rows.groupBy("prep_id").agg(
+        F.count_if(F.col("last_line") - F.col("first_line") >= 50).alias("too_many_lines"), F.count_if(F.octet_length("body") > 4000).alias("too_large"), F.sum(F.length(F.regexp_replace("body", r"\s", ""))).alias("kept")
+    )
+    lines = F.split("content", "\n")
+    texts = t.prepared_docs.select("prep_id", F.size(F.filter(lines, lambda x: F.octet_length(x) < 4000)).cast("long").alias("plain_lines"), F.length(F.regexp_replace("content", r"\s", "")).alias("held"), F.length("content").alias("n"))
+    joined = texts.where("n > 0").join(windows, "prep_id", "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return joined.select("prep_id", "plain_lines", none("too_many_lines").alias("too_many_lines"), none("too_large").alias("too_large"), (F.col("held") - none("kept")).alias("lost"))
+
+
 @query("J04_ast")
 def _(t):
     at = F.locate("\n\n", F.col("embed_text"))  # the first blank line ends the path; the body may have more
@@ -55,7 +71,7 @@ def _(t):
     return transcripts.message_usage(lines).select("file_id", "line_no", "input", "output")
 
 
-@query("J07_log_rows")
+@query("J07_log_rows", "SELECT 'M' AS change_type, COUNT(*) AS n, COUNT(DISTINCT path) AS paths FROM code_chunks JOIN indexed_files f ON f.id = file_id")
 def _(t):
     from kelpie.sources.git_log import parse_log
 
@@ -196,7 +212,9 @@ def _(t):
 # --- L: incremental --------------------------------------------------------------------------------
 
 
-@query("L03_shrink_reset")
+@query("L03_shrink_reset", """
+SELECT CASE WHEN file_id % 4 = 0 THEN 'reset' ELSE 'resume' END AS state, COUNT(*) AS n FROM transcript_files WHERE line_count IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'resume', COUNT(*) FROM transcript_files WHERE line_count IS NULL HAVING COUNT(*) > 0""")
 def _(t):
     files = t.transcript_files.select("file_id", "line_count", F.when(F.col("file_id") % 4 == 0, F.col("line_count") + 5).otherwise(F.col("line_count") - 1).alias("scanned"))
     state = F.when(F.col("line_count") < F.col("scanned"), "reset").when(F.col("line_count") == F.col("scanned"), "skip").otherwise("resume")

@@ -55,10 +55,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests on one machine, a temporary one."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset a temporary folder serves sessions whose executors run on this machine; on a
+    cluster that is an error, for executors on other machines couldn't reach it.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="kelpie-"))
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and not (context.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kelpie-"))
     return str(context.getCheckpointDir())
 
 

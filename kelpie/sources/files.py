@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.functions.predicates import is_denied
+from kelpie.functions.predicates import DEFAULT_DENY, is_denied
 
 
 def tracked_files(spark: SparkSession, repository: str, deny: list[str]) -> DataFrame:
@@ -56,7 +56,7 @@ class Settings:
     max_results: int = 8
     text_weight: float = 0.5
     vector_weight: float = 0.5
-    deny: tuple[str, ...] = field(default=("*.pem", "*.key", ".env", ".env.*"))
+    deny: tuple[str, ...] = field(default=tuple(DEFAULT_DENY))
 
 
 def load_settings(path: str) -> Settings:
