@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -271,14 +272,17 @@ def _(t):
 
 
 @query("C16_nested_loop", """
-SELECT query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cos
-FROM embeddings e, (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q""")
+SELECT query_id, rank, id, cos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos, id) AS rank FROM (
+  SELECT query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cos
+  FROM embeddings e, (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q)) WHERE rank <= 5""")
 def _(t):
-    from kelpie.operators.retrieval import vector_scores
+    from kelpie.operators.retrieval import nearest
 
+    # the farthest vectors, which recall drops
     asked = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    scored = vector_scores(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), asked, 64, drop_negative=False)
-    return scored.select("query_id", "id", F.round("cos", 6).alias("cos"))
+    vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = nearest(vectors, asked, 64, 5, least=None, score=lambda cos: -np.round(cos, 6))
+    return found.select("query_id", "rank", "id", F.round("cos", 6).alias("cos"))
 
 
 _TURNS_SQL = """(SELECT project_id AS grp, id AS turn, epoch_us(ts) AS x FROM session_turn_metrics WHERE ts IS NOT NULL)"""

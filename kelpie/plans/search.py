@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kelpie.functions.predicates import days_between, is_stale, is_test_path
-from kelpie.functions.scalars import age_decay, tokens
+from kelpie.functions.scalars import age_decay, cosine, tokens
 from kelpie.operators import joins, rerank, retrieval
 from kelpie.operators.retrieval import Weights
 from kelpie.plans.base import ORDERS_AS_OF, Family, orders_now
@@ -14,26 +15,28 @@ from kelpie.plans.relational import STALE_SQL, TASKS
 family = Family()
 query = family.query
 
-ASKED = [(1, "credit score"), (2, "parser webhook"), (3, "the"), (4, "key point")]
 _TS = r"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-_ASKED = "(VALUES (1, ['credit', 'score']), (2, ['parser', 'webhook']), (3, ['the']), (4, ['key', 'point'])) q(query_id, terms)"
+_WORD_TS = _TS.replace("lambda x: x", "lambda y: y").format(c="""trim(w, '"'',.:;')""")
 
 
 def _bm25_sql(source: str, key: str, title: str, text: str) -> str:
-    """BM25 over two columns for the asked queries, by list counts instead of postings."""
-    return f"""
+    """BM25 over two columns for the titles of every fiftieth document, by counts in lists instead of postings."""
+    return rf"""
 d AS (SELECT {key} AS id, list_concat({_TS.format(c=title)}, {_TS.format(c=text)}) AS ts FROM {source}),
 c AS (SELECT COUNT(*) AS n, AVG(len(ts)) AS avgdl FROM d),
-p AS (SELECT query_id, unnest(terms) AS term, len(terms) AS k FROM {_ASKED}),
-tf AS (SELECT query_id, k, p.term, d.id, len(d.ts) AS dl, len(list_filter(d.ts, lambda x: x = p.term)) AS f FROM d, p),
+q AS (SELECT doc_id AS query_id, list_filter(list_transform(regexp_split_to_array(trim(title), '\s+'), lambda w: {_WORD_TS}), lambda p: len(p) > 0) AS ps FROM documents WHERE doc_id % 50 = 0 AND title IS NOT NULL),
+p AS (SELECT query_id, unnest(ps) AS words, unnest(range(1, len(ps) + 1)) AS i, len(ps) AS k FROM q),
+tf AS (SELECT query_id, k, i, d.id, len(d.ts) AS dl, CASE WHEN len(words) = 1 THEN len(list_filter(d.ts, lambda x: x = words[1]))
+  ELSE len(list_filter(range(1, len(d.ts) + 1), lambda j: d.ts[j:j + len(words) - 1] = words)) END AS f FROM d JOIN p ON list_contains(d.ts, words[1])),
 hit AS (SELECT * FROM tf WHERE f > 0),
-df AS (SELECT query_id, term, COUNT(*) AS df FROM hit GROUP BY 1, 2),
+df AS (SELECT query_id, i, COUNT(*) AS df FROM hit GROUP BY 1, 2),
 s AS (SELECT query_id, id, -SUM(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25
-  FROM hit JOIN df USING (query_id, term), c GROUP BY query_id, id, k HAVING COUNT(*) = k)"""
+  FROM hit JOIN df USING (query_id, i), c GROUP BY query_id, id, k HAVING COUNT(*) = k)"""
 
 
 def _asked(t):
-    return t.spark.createDataFrame(ASKED, "query_id long, query string")
+    """The titles of every fiftieth document."""
+    return t.documents.where("doc_id % 50 = 0 and title is not null").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
 
 
 def _docs(t):
@@ -51,9 +54,8 @@ WHERE contains(s, ' credit score ') AND contains(s, ' yield ')""")
 def _(t):
     docs = retrieval.tokenised(t.documents, "doc_id", ["text"])
     asked = t.spark.createDataFrame([(1, "credit-score yield")], "query_id long, query string")
-    counted = retrieval.phrase_counts(docs, retrieval.query_phrases(asked))
-    held = counted.groupBy("query_id", "phrases", "id").agg(F.count(F.lit(1)).alias("n"))
-    return held.where("n = phrases").select("id")
+    phrases = retrieval.query_phrases(asked).withColumn("phrase", F.array_join("words", " "))
+    return retrieval.holding_all(retrieval.phrase_hits(docs, phrases), phrases).select("id")
 
 
 @query("I03_bm25", f"WITH {_bm25_sql('documents', 'doc_id', 'title', 'text')} SELECT query_id, rank, id, round(bm25, 6) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), id) AS rank FROM s) WHERE rank <= 10")
@@ -74,10 +76,6 @@ def _(t):
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 
-def _vector_queries(t, numbers=(0, 1, 2, 3)):
-    return t.embeddings.where(F.col("vec_id").isin(list(numbers))).select((F.col("vec_id") + 1).alias("query_id"), F.col("embedding").alias("vector"))
-
-
 def _every_fiftieth(t):
     return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
@@ -90,41 +88,53 @@ def _vectors(t):
 SELECT query_id, rank, id, cos FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round({_COS}, 6) AS cos,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 6) DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE {_COS} >= 0) WHERE rank <= 20""")
 def _(t):
-    scored = retrieval.vector_scores(_vectors(t), _every_fiftieth(t), 64).withColumn("cos", F.round("cos", 6))
-    return retrieval.top_per_query(scored, [F.desc("cos"), F.col("id")], 20).select("query_id", "rank", "id", "cos")
+    return retrieval.nearest(_vectors(t), _every_fiftieth(t), 64, 20).select("query_id", "rank", "id", F.col("score").alias("cos"))
+
+
+@query("I05_cells_recall", "SELECT COUNT(*) AS queries, 1 AS recall_is_enough FROM embeddings WHERE vec_id % 50 = 0")
+def _(t):
+    # approximate search against the exact one: at least nine of ten of the ten nearest are found
+    exact = retrieval.nearest(_vectors(t), _every_fiftieth(t), 64, 10).select("query_id", "id")
+    near = retrieval.nearest_in_cells(_vectors(t), _every_fiftieth(t), retrieval.fit_cells(_vectors(t), 64), 10).select("query_id", "id", F.lit(1).alias("found"))
+    held = exact.join(near, ["query_id", "id"], "left")
+    return held.agg(F.count_distinct("query_id").alias("queries"), (F.sum(F.coalesce("found", F.lit(0))) >= 0.9 * F.count(F.lit(1))).cast("int").alias("recall_is_enough"))
 
 
-@query("B12_nonneg_cosine", f"SELECT q.vec_id AS query_id, e.vec_id AS id FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE {_COS} >= 0")
+@query("B12_nonneg_cosine", f"""
+SELECT query_id, id FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 6), e.vec_id) AS rank
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE {_COS} >= 0) WHERE rank <= 20""")
 def _(t):
-    return retrieval.vector_scores(_vectors(t), _every_fiftieth(t), 64).select("query_id", "id")
+    # the vectors that are just not dropped
+    return retrieval.nearest(_vectors(t), _every_fiftieth(t), 64, 20, score=lambda cos: -np.round(cos, 6)).select("query_id", "id")
 
 
 _HYBRID = f"""
 {_bm25_sql('documents', 'doc_id', 'title', 'text')},
-lex AS (SELECT query_id, id, bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, id) AS rank FROM (SELECT query_id, id, round(bm25, 6) AS bm25 FROM s)) WHERE rank <= 50),
-vec AS (SELECT q.vec_id + 1 AS query_id, e.vec_id AS id, {_COS} AS cos FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 4) q WHERE {_COS} >= 0),
+lex AS (SELECT query_id, id, bm25 FROM (SELECT query_id, id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25, id) AS rank FROM (SELECT query_id, id, round(bm25, 6) AS bm25 FROM s)) WHERE rank <= 50 AND query_id IN (SELECT vec_id FROM embeddings)),
+vec AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS cos FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE {_COS} >= 0),
 cand AS (SELECT COALESCE(lex.query_id, vec.query_id) AS query_id, COALESCE(lex.id, vec.id) AS id, bm25, cos FROM lex FULL OUTER JOIN vec ON lex.query_id = vec.query_id AND lex.id = vec.id),
 norm AS (SELECT *, CASE WHEN bm25 IS NULL THEN 0.0 WHEN hi = lo THEN 1.0 ELSE (hi - bm25) / (hi - lo) END AS fts01
   FROM (SELECT *, MIN(bm25) OVER (PARTITION BY query_id) AS lo, MAX(bm25) OVER (PARTITION BY query_id) AS hi FROM cand))"""
 
 
-def _candidates(t):
-    return _merged(t, retrieval.bm25(_docs(t), _asked(t)), _vector_queries(t))
-
-
-def _fiftieth_candidates(t):
-    """Candidates of every fiftieth vector and of the text of the document of its id."""
-    vectors = _every_fiftieth(t)
-    texts = t.documents.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")).join(vectors.select("query_id"), "query_id", "left_semi")
-    return _merged(t, retrieval.bm25_by_rarest(_docs(t), texts), vectors)
-
-
-def _merged(t, scored, vectors):
-    scored = scored.withColumn("bm25", F.round("bm25", 6))
-    lexical = retrieval.top_per_query(scored, [F.col("bm25"), F.col("id")], 50).select("query_id", "id", "bm25")
-    vector = retrieval.vector_scores(_vectors(t), vectors, 64)
-    merged = retrieval.merge_candidates(lexical, vector, ["query_id", "id"])
-    return retrieval.normalised(merged, ["query_id"])
+def _candidates(t, weights, most):
+    """Scored candidates of every fiftieth vector and of the title of the document of its id: the 50 best texts,
+    and of the other vectors the `most` that score best."""
+    asked = _every_fiftieth(t)
+    texts = _asked(t).join(asked.select("query_id"), "query_id", "left_semi")
+    scored = retrieval.bm25(_docs(t), texts).withColumn("bm25", F.round("bm25", 6))
+    lexical = retrieval.normalised(retrieval.top_per_query(scored, [F.col("bm25"), F.col("id")], 50).select("query_id", "id", "bm25"), ["query_id"])
+    flagged = _flagged(t, _vectors(t))
+    both = lexical.join(flagged.select("id", "vector"), "id", "left").join(asked.withColumnRenamed("vector", "_asked"), "query_id")
+    with_cos = both.select("query_id", "id", "fts01", F.when(F.col("vector").isNotNull(), cosine(F.col("vector"), F.col("_asked"))).alias("cos"))
+    with_text = retrieval.fused(_flagged(t, with_cos), weights).select("query_id", "id", F.round("score", 6).alias("score"))
+    decay = age_decay(F.col("age_days"), weights.half_life_days).alias("decay")
+    penalty = (F.col("stale").cast("double") * weights.stale + F.col("superseded").cast("double") * weights.superseded).alias("penalty")
+    of_vector = weights.vector
+    by_vector = lambda cos, decay, penalty: np.round(of_vector * np.minimum(cos, 1.0) * decay - penalty, 6)
+    others = retrieval.nearest(flagged.select("id", "vector", decay, penalty), asked, 64, most + 50, extra=("decay", "penalty"), score=by_vector)
+    alone = others.select("query_id", "id", "score").join(with_text, ["query_id", "id"], "left_anti")
+    return with_text.unionByName(alone)
 
 
 def _flagged(t, candidates):
@@ -145,16 +155,7 @@ fused AS (SELECT query_id, id, round((0.5 * fts01 + 0.5 * LEAST(1, GREATEST(0, C
 
 @query("I06_hybrid", f"WITH {_HYBRID}, {_FUSED} SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused) WHERE rank <= 10")
 def _(t):
-    return _hybrid(t, _candidates(t))
-
-
-@query("I06_hybrid_fiftieth")
-def _(t):
-    return _hybrid(t, _fiftieth_candidates(t))
-
-
-def _hybrid(t, candidates):
-    scored = retrieval.fused(_flagged(t, candidates), Weights(half_life_days=365.0)).withColumn("score", F.round("score", 6))
+    scored = _candidates(t, Weights(half_life_days=365.0), 10)
     return retrieval.top_per_query(scored, [F.desc("score"), F.col("id")], 10).select("query_id", "rank", "id", "score")
 
 
@@ -189,19 +190,9 @@ def _(t):
 WITH {_HYBRID}, {_FUSED}, scoped AS (SELECT CASE WHEN id % 4 = 0 THEN 'global' ELSE 'repo' END AS scope, fused.* FROM fused)
 SELECT query_id, rank, scope, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, scope, id) AS rank FROM scoped) WHERE rank <= 10""")
 def _(t):
-    return _cross_store(t, _candidates(t))
-
-
-@query("I10_cross_store_fiftieth")
-def _(t):
-    return _cross_store(t, _fiftieth_candidates(t))
-
-
-def _cross_store(t, candidates):
-    scored = retrieval.fused(_flagged(t, candidates), Weights(half_life_days=365.0)).withColumn("score", F.round("score", 6))
-    stores = [scored.where("id % 4 = 0").withColumn("scope", F.lit("global")), scored.where("id % 4 <> 0").withColumn("scope", F.lit("repo"))]
-    both = stores[0].unionByName(stores[1])
-    return retrieval.top_per_query(both, [F.desc("score"), F.col("scope"), F.col("id")], 10).select("query_id", "rank", "scope", "id", "score")
+    scored = _candidates(t, Weights(half_life_days=365.0), 10)  # ids that are no multiple of 4 are the repository's
+    scoped = scored.withColumn("scope", F.when(F.col("id") % 4 == 0, "global").otherwise("repo"))
+    return retrieval.top_per_query(scoped, [F.desc("score"), F.col("scope"), F.col("id")], 10).select("query_id", "rank", "scope", "id", "score")
 
 
 @query("I11_warnings", f"""
@@ -281,24 +272,31 @@ def _(t):
 
 
 @query("F03_bm25_then_date", f"""
-WITH {_bm25_sql('documents', 'doc_id', 'title', 'text')} SELECT id FROM s JOIN documents ON doc_id = id WHERE query_id = 1 ORDER BY round(bm25, 6), ingested_at DESC NULLS LAST, id LIMIT 20""")
+WITH {_bm25_sql('documents', 'doc_id', 'title', 'text')} SELECT query_id, rank, id FROM (
+  SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), ingested_at DESC NULLS LAST, id) AS rank FROM s JOIN documents ON doc_id = id) WHERE rank <= 20""")
 def _(t):
-    asked = _asked(t).where("query_id = 1")
-    dated = retrieval.bm25(_docs(t), asked).join(t.documents.select(F.col("doc_id").alias("id"), "ingested_at"), "id")
-    return dated.orderBy(F.round("bm25", 6), F.desc_nulls_last("ingested_at"), "id").limit(20).select("id")
+    dated = retrieval.bm25(_docs(t), _asked(t)).join(t.documents.select(F.col("doc_id").alias("id"), "ingested_at"), "id")
+    return retrieval.top_per_query(dated, [F.round("bm25", 6), F.desc_nulls_last("ingested_at"), F.col("id")], 20).select("query_id", "rank", "id")
 
 
 @query("N01_eval", f"""
-WITH {_bm25_sql('documents', 'doc_id', 'title', 'text')}, r AS (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), id) AS rank FROM s)
-SELECT query_id, MAX(CASE WHEN rank = 1 AND contains(lower(text), needle) THEN 1 ELSE 0 END) AS at_1, MAX(CASE WHEN rank <= 3 AND contains(lower(text), needle) THEN 1 ELSE 0 END) AS at_3
-FROM r JOIN documents ON doc_id = id JOIN (VALUES (1, 'yield'), (2, 'linker'), (3, 'compost'), (4, 'vote')) g(query_id, needle) USING (query_id) WHERE rank <= 3 GROUP BY query_id""")
+WITH {_bm25_sql('documents', 'doc_id', 'title', 'text')}, r AS (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), id) AS rank FROM s),
+g AS (SELECT doc_id AS query_id, title AS needle, doc_id % 100 = 50 AS none FROM documents WHERE doc_id % 50 = 0 AND title IS NOT NULL),
+h AS (SELECT g.query_id, none, r.id, rank, contains(lower(text), lower(needle)) AS good FROM g LEFT JOIN r ON r.query_id = g.query_id AND rank <= 3 AND NOT none LEFT JOIN documents ON doc_id = id),
+e AS (SELECT query_id, ANY_VALUE(none) AS none, COALESCE(bool_or(good AND rank = 1), FALSE) AS at_1, COALESCE(bool_or(good), FALSE) AS at_3, COUNT(id) AS hits FROM h GROUP BY query_id)
+SELECT COUNT(*) FILTER (WHERE NOT none) AS matches, COUNT(*) FILTER (WHERE NOT none AND at_1) AS at_1, COUNT(*) FILTER (WHERE NOT none AND at_3) AS at_3,
+  COUNT(*) FILTER (WHERE none) AS empties, COUNT(*) FILTER (WHERE none AND hits > 0) AS safety_failures FROM e""")
 def _(t):
-    from kelpie.operators.evaluation import recall_at
+    from kelpie.operators.evaluation import evaluate
 
-    golden = t.spark.createDataFrame([(1, ["yield"]), (2, ["linker"]), (3, ["compost"]), (4, ["vote"])], "query_id long, needles array<string>")
-    scored = retrieval.bm25(_docs(t), _asked(t)).withColumn("bm25", F.round("bm25", 6))
+    # every hundredth golden query is one that nothing answers
+    none = F.col("query_id") % 100 == 50
+    asked = _asked(t).select("query_id", F.when(none, F.concat("query", F.lit(" zzqxv"))).otherwise(F.col("query")).alias("query"))
+    golden = _asked(t).select("query_id", F.when(none, "empty").otherwise("match").alias("kind"), F.array("query").alias("needles"))
+    scored = retrieval.bm25(_docs(t), asked).withColumn("bm25", F.round("bm25", 6))
     top = retrieval.top_per_query(scored, [F.col("bm25"), F.col("id")], 3)
-    return recall_at(top.join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id"), golden, "text", (1, 3))
+    ranked = top.join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
+    return evaluate(ranked, golden, "text", (1, 3))
 
 
 QUERIES, SQL = family.QUERIES, family.SQL

@@ -28,6 +28,16 @@ def test_deny(spark):
     assert rows(spark.createDataFrame([("config/server.pem",), ("./a.pem",), ("a.pem.txt",), (None,), ("",)], "p string").select(P.is_denied(F.col("p"), ["*.pem"]).alias("d"))) == [(False,)] * 3 + [(True,)] * 2
     with pytest.raises(ValueError):
         P.deny_regex(["a[b"])
+    for bad in ("a{b", "a}b", "{a,{b}", "[]"):
+        with pytest.raises(ValueError):
+            P.deny_regex([bad])
+    cases = [("a/b.pem", "*.{pem,key}", True), ("a/b.pe", "*.{pem,key}", False), ("a,b", "a,b", True), ("x/ab3", "a{b{1,3},c}", True), ("ab2", "a{b{1,3},c}", False), ("././.env", ".env", True),
+             ("a/secrets/x/y", "secrets/**", True), ("secrets", "secrets/**", False), ("a]b", "a[]x]b", True), ("a^b", "a[!x]b", True), ("axb", "a[!x]b", False), ("a.pem\n", "*.pem", False), ("a*", "a\\*", True)]
+    for path, glob, want in cases:
+        assert value(spark, P.is_denied(F.lit(path), [glob])) is want, (path, glob)
+    assert all(value(spark, P.is_denied(F.lit(p), P.DEFAULT_DENY)) for p in ("id_rsa", "k/id_rsa.pub", "a/x.p12", "home/.aws/credentials", "secrets/a/b", ".env.local"))
+    tests = {"tests/foo.rs": True, "benches/b.rs": True, "examples/ex.rs": True, "src/foo.rs": False, "src/tests/foo.rs": False, "": False}
+    assert {p: value(spark, P.is_test_path(F.lit(p))) for p in tests} == tests
     assert value(spark, P.is_denied(F.lit("x"), [])) is False
 
 
@@ -72,8 +82,8 @@ def test_corrupt_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None)], "id long, vector array<float>")
     assert rows(retrieval.corrupt(df, 2), "id") == [(2,), (3,)]
     asked = spark.createDataFrame([(7, [-1.0, 0.0])], "query_id long, vector array<float>")
-    assert retrieval.vector_scores(df, asked, 2).count() == 0
-    assert rows(retrieval.vector_scores(df, asked, 2, drop_negative=False)) == [(7, 1, -1.0)]
+    assert retrieval.nearest(df, asked, 2, 5).count() == 0
+    assert rows(retrieval.nearest(df, asked, 2, 5, least=None), "query_id", "id", "cos") == [(7, 1, -1.0)]
 
 
 def test_rerank_lone_candidate(spark):

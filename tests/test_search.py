@@ -1,35 +1,98 @@
-import glob
-import os
+import math
+import random
+import re
 
-import pytest
+import numpy as np
 from conftest import rows
+from pyspark.sql import functions as F
 
 from kelpie.operators import retrieval
-from kelpie.plans import catalogue
-from kelpie.session import table
 
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+TEXTS = ["the red fox", "the red-hot fox saw the fox", "a red hot day", "the the the", "", None, "fox red", "red hot red hot red"]
 
 
-def test_bm25_by_rarest_is_bm25(spark):
-    texts = ["the red fox", "the red-hot fox saw the fox", "a red hot day", "the the the", "", None, "fox red"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    asked = [(i, t) for i, t in enumerate(texts)] + [(20, "fox missing"), (21, "red-hot"), (22, "the fox the"), (23, "...")]
+def words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def brute(texts, query):
+    """BM25 of one query by counting."""
+    docs = [words(t) for t in texts]
+    phrases = [p for p in (words(w.strip("\"',.:;")) for w in query.split()) if p]
+    count = lambda d, p: sum(d[i : i + len(p)] == p for i in range(len(d)))
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    out = {}
+    for i, d in enumerate(docs):
+        if phrases and all(count(d, p) for p in phrases):
+            total = 0.0
+            for p in phrases:
+                df = sum(count(e, p) > 0 for e in docs)
+                idf = math.log((n - df + 0.5) / (df + 0.5))
+                total -= (idf if idf > 0 else 1e-6) * count(d, p) * 2.2 / (count(d, p) + 1.2 * (0.25 + 0.75 * len(d) / mean))
+            out[i] = round(total, 9)
+    return out
+
+
+def test_bm25(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    asked = [(i, t) for i, t in enumerate(TEXTS)] + [(20, "fox missing"), (21, "red-hot"), (22, "the fox the"), (23, "..."), (24, "red-hot-red")]
     queries = spark.createDataFrame(asked, "query_id long, query string")
     tokenised = retrieval.tokenised(docs, "doc_id", ["text"])
-    plain = lambda df: sorted((r["query_id"], r["id"], round(r["bm25"], 9)) for r in df.collect())
-    got = plain(retrieval.bm25_by_rarest(tokenised, queries))
-    assert got == plain(retrieval.bm25(tokenised, queries)) and {(0, 0), (21, 1), (22, 1)} <= {g[:2] for g in got}
-
-
-@pytest.mark.skipif(not glob.glob(f"{DATA}/*.parquet"), reason="no test data")
-@pytest.mark.parametrize("name", ["I06_hybrid_fiftieth", "I10_cross_store_fiftieth"])
-def test_hybrid_asks_every_fiftieth(spark, name):
-    embeddings, documents = table(spark, DATA, "embeddings"), table(spark, DATA, "documents")
-    fiftieth = {r[0] for r in embeddings.where("vec_id % 50 = 0").select("vec_id").collect()}
-    got = catalogue.QUERIES[name](spark, DATA).collect()
-    assert {r["query_id"] for r in got} == fiftieth
-    # each text finds its own document, so that both sides are in the pool
-    texts = documents.where("doc_id % 50 = 0").selectExpr("doc_id as query_id", "text as query")
-    own = retrieval.bm25_by_rarest(retrieval.tokenised(documents, "doc_id", ["title", "text"]), texts).where("query_id = id")
-    assert rows(own, "id") == rows(texts, "query_id")
+    got = {}
+    for r in retrieval.bm25(tokenised, queries).collect():
+        got.setdefault(r["query_id"], {})[r["id"]] = round(r["bm25"], 9)
+    assert got == {i: b for i, q in asked if q and (b := brute(TEXTS, q))} and len(got) > 5
+    assert retrieval.bm25(tokenised, queries.limit(0)).count() == 0 and retrieval.bm25(tokenised.limit(0), queries).count() == 0
+
+
+def test_plan_of_bm25_pairs_nothing(spark):
+    docs = retrieval.tokenised(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"), "doc_id", ["text"])
+    queries = spark.createDataFrame([(1, "red fox")], "query_id long, query string")
+    phrases = retrieval.query_phrases(queries)
+    for df in (retrieval.phrase_hits(docs, phrases), retrieval.bm25(docs, queries)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_nearest(spark):
+    random.seed(4)
+    vectors = [(i, [random.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)], float(i % 3)) for i in range(700)] + [(900, None, 0.0), (901, [1.0], 0.0), (902, [0.0] * 4, 0.0)]
+    vectors += [(1000 + i, vectors[0][1], 0.0) for i in range(300)]  # a third are copies
+    df = spark.createDataFrame(vectors, "id long, vector array<float>, extra double").repartition(5)
+    asked = [(i, v) for i, v, _ in vectors[:20]] + [(500, None), (501, [0.0] * 4)]
+    queries = spark.createDataFrame(asked, "query_id long, vector array<float>")
+
+    def cos(a, b):
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return float(np.dot(a, b) / n) if n > 1e-12 else 0.0
+
+    for least, factor in ((0.0, 1.0), (None, -1.0)):
+        want = []
+        for q, a in asked:
+            if a is not None:
+                scored = [(round(factor * cos(a, v), 6), i) for i, v, _ in vectors if v is not None and len(v) == 4 and (least is None or cos(a, v) >= least)]
+                want += [(q, i) for _, i in sorted(scored, key=lambda x: (-x[0], x[1]))[:7]]
+        got = retrieval.nearest(df, queries, 4, 7, least=least, score=lambda c: np.round(factor * c, 6))  # noqa: B023
+        assert rows(got, "query_id", "id") == sorted(want, key=repr)
+    shifted = retrieval.nearest(df, queries, 4, 3, extra=("extra",), score=lambda c, e: c + e)
+    assert all(r["score"] >= r["cos"] for r in shifted.collect())
+    assert retrieval.nearest(df.limit(0), queries, 4, 3).count() == 0 and retrieval.nearest(df, queries.limit(0), 4, 3).count() == 0
+    blocks, retrieval.QUERY_BLOCK = retrieval.QUERY_BLOCK, 6
+    try:
+        assert rows(retrieval.nearest(df, queries, 4, 7), "query_id", "id", "rank") == rows(retrieval.nearest(df.coalesce(1), queries, 4, 7), "query_id", "id", "rank")
+    finally:
+        retrieval.QUERY_BLOCK = blocks
+
+
+def test_cells_index_every_row(spark):
+    rng = np.random.default_rng(1)
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((800, 8)) + 3 * rng.standard_normal((8, 8))[np.arange(800) % 8])]
+    df = spark.createDataFrame(data, "id long, vector array<float>")
+    cells = retrieval.fit_cells(df, 8, cells=8, sample=100)
+    assert cells.number(df).count() == 800
+    queries = df.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    exact = set(rows(retrieval.nearest(df, queries, 8, 10), "query_id", "id"))
+    near = set(rows(retrieval.nearest_in_cells(df, queries, cells, 10, probes=4), "query_id", "id"))
+    assert len(exact & near) >= 0.9 * len(exact)
+    everything = set(rows(retrieval.nearest_in_cells(df, queries, cells, 10, probes=8), "query_id", "id"))
+    assert len(exact & everything) >= 0.99 * len(exact)
