@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kelpie.functions.predicates import days_between, is_stale, within_days
 from kelpie.functions.scalars import cell
 from kelpie.operators.lifecycle import orphans
-from kelpie.operators.series import median_integer
+from kelpie.operators.series import median_integer, running_total
 
 
 def stats(tasks: DataFrame, log: DataFrame, tasks_now: Column, log_now: Column) -> DataFrame:
@@ -69,3 +69,92 @@ def ledger_lines(tasks: DataFrame, show: int) -> DataFrame:
     top = tasks.orderBy(rank, "id").limit(show)  # then one partition holds `show` rows
     line = F.concat(F.lit("| "), F.col("id").cast("string"), F.lit(" | "), "status", F.lit(" | "), cell(F.col("source")), F.lit(" |"))
     return top.select(F.row_number().over(Window.orderBy(rank, "id")).alias("ord"), line.alias("line"))
+
+
+def health(checks: dict[str, DataFrame]) -> DataFrame:
+    """(check_name, n): how many rows fail each of some checks, given by the rows that fail."""
+    out = None
+    for name, failing in checks.items():
+        row = failing.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check_name"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def vector_checks(sources: DataFrame, vectors: DataFrame, dimension: int) -> dict[str, DataFrame]:
+    """The checks of vectors (id, vector, content_hash) against their sources (id, content_hash): sources without
+    a vector, vectors without a source, of the wrong length, or of an earlier text."""
+    ids, stored = sources.select("id"), vectors.select("id")
+    of_text = vectors.join(sources.select("id", F.col("content_hash").alias("_now")), "id")
+    return {
+        "missing_vectors": ids.join(stored, "id", "left_anti"),
+        "orphan_vectors": stored.join(ids, "id", "left_anti"),
+        "corrupt_vectors": vectors.where(F.coalesce(F.size("vector") != dimension, F.lit(True))),
+        "drifted_vectors": of_text.where(~F.col("content_hash").eqNullSafe(F.col("_now"))),
+    }
+
+
+def stale_summary(candidates: DataFrame, group: str) -> DataFrame:
+    """(group, stale_count, total_count, reason) of candidates with the flags missing, drift and corrupt.
+
+    A vector of the wrong length is corrupt whatever its text's hash says. The reason names what occurs.
+    """
+    corrupt = F.col("corrupt")
+    missing, drift = F.col("missing") & ~corrupt, F.col("drift") & ~corrupt & ~F.col("missing")
+    counted = candidates.groupBy(group).agg(
+        F.count_if(corrupt | missing | drift).alias("stale_count"), F.count(F.lit(1)).alias("total_count"),
+        F.max(missing).alias("_m"), F.max(drift).alias("_d"), F.max(corrupt).alias("_c"),
+    )
+    named = F.array_join(F.array_compact(F.array(F.when(F.col("_m"), "missing"), F.when(F.col("_d"), "drift"), F.when(F.col("_c"), "corrupt"))), "_or_")
+    reason = (
+        F.when(F.col("_m") & F.col("_d") & F.col("_c"), "missing_drift_or_corrupt")
+        .when(named == "missing", "missing_embeddings").when(named == "drift", "content_drift").when(named == "corrupt", "corrupt_length_mismatch")
+        .otherwise(named)
+    )
+    return counted.select(group, "stale_count", "total_count", reason.alias("reason"))
+
+
+def session_series(sessions: DataFrame, recalls: DataFrame, group: str) -> DataFrame:
+    """Sessions (session_id, started_at, input_tokens, output_tokens, group) in order of their start, with running totals.
+
+    `delta` is a session's tokens; its offset is what its recalls (session_id, bundle_tokens,
+    ledger_tokens) spared: the smallest ledger less all bundles, at least 0, and 0 if no recall found
+    anything. Negatives count as 0 in the totals.
+    """
+    found = F.col("bundle_tokens") > 0
+    per = recalls.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("recalls"), F.count_if(found).alias("_found"), F.min("ledger_tokens").alias("_ledger"), F.sum(F.when(found, F.col("bundle_tokens")).otherwise(0)).alias("_bundles")
+    )
+    spared = F.when(F.col("_found") > 0, F.greatest(F.lit(0), F.col("_ledger") - F.col("_bundles"))).otherwise(0)
+    rows = sessions.join(per, "session_id", "left").select(
+        "session_id", group, "started_at", (F.col("input_tokens") + F.col("output_tokens")).alias("delta"),
+        F.coalesce(spared, F.lit(0)).alias("offset"), F.coalesce("recalls", F.lit(0)).alias("recalls"),
+    )
+    return running_total(rows, group, ["started_at", "session_id"], ["delta", "offset", "recalls"])
+
+
+def page(parts: list[tuple[str, DataFrame]], title: str) -> DataFrame:
+    """(ord, line) of a page: its title, then each part's heading and lines (ord, line) in order; a part without lines says so.
+
+    Parts are limited by whoever makes them, so a page is small.
+    """
+    spark = parts[0][1].sparkSession
+    out = spark.createDataFrame([(0, 0, f"# {title}")], "part int, ord int, line string")
+    for number, (heading, lines) in enumerate(parts, 1):
+        head = spark.createDataFrame([(number, -2, ""), (number, -1, f"## {heading}"), (number, 0, "")], "part int, ord int, line string")
+        none = lines.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(number).alias("part"), F.lit(1).alias("ord"), F.lit("_Nothing recorded._").alias("line"))
+        out = out.unionByName(head).unionByName(lines.select(F.lit(number).alias("part"), F.col("ord").cast("int").alias("ord"), "line")).unionByName(none)
+    return out.select(F.row_number().over(Window.orderBy("part", "ord")).alias("ord"), "line")
+
+
+def narrative_lines(latest: DataFrame) -> DataFrame:
+    """(ord, line) of the latest narrative (body, created_at, actor): the body without a heading of its own, then who wrote it when."""
+    body = F.regexp_replace(F.regexp_replace("body", r"^\s*#{1,6} [^\n]*\n+", ""), r"\s+$", "")
+    note = F.concat(F.lit("_Last updated "), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), F.lit(" by "), "actor", F.lit("._"))
+    return latest.limit(1).select(F.posexplode(F.concat(F.split(body, "\n"), F.array(F.lit(""), note))).alias("ord", "line")).select((F.col("ord") + 1).alias("ord"), "line")
+
+
+def note_lines(notes: DataFrame, show: int) -> DataFrame:
+    """(ord, line) of the newest notes (id, text, created_at, actor), each on one line."""
+    newest = notes.orderBy(F.desc("created_at"), F.desc("id")).limit(show)
+    line = F.concat(F.lit("- **"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), F.lit("** ("), "actor", F.lit(") — "), F.trim(F.regexp_replace("text", r"\s+", " ")))
+    return newest.select(F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))).alias("ord"), line.alias("line"))

@@ -383,4 +383,194 @@ def _(t):
     return t.indexed_files.select(F.col("id").alias("file_id"), "path").join(counted, "file_id", "left").select("file_id", "path", F.coalesce("chunks", F.lit(0)).alias("chunks"))
 
 
+# --- review, registry, embedding and further reports ------------------------------------------------
+
+
+def _queue(t):
+    """Documents as proposed facts: the title is the key; some are decided already, some lack a key."""
+    payload = F.to_json(F.struct(F.col("title").alias("key"), F.when(F.col("doc_id") % 3 == 0, F.col("content_hash")).otherwise(F.lit("v")).alias("value")))
+    return t.documents.where("source in ('decision', 'fact')").select(
+        F.col("doc_id").alias("id"), F.lit("fact").alias("kind"), payload.alias("payload_json"), F.lit("why").alias("rationale"), F.when(F.col("doc_id") % 7 == 0, "rejected").otherwise("pending").alias("status"),
+        F.lit("agent:x").alias("actor"), F.col("ingested_at").alias("created_at"), F.lit(None).cast("timestamp").alias("reviewed_at"),
+    )
+
+
+def _known_facts(t):
+    first = t.documents.where("source = 'fact' and title is not null").groupBy(F.col("title").alias("key")).agg(F.min("doc_id").alias("id"), F.min_by("content_hash", "doc_id").alias("value"))
+    return first.select("id", "key", "value", F.lit("user").alias("source"), F.lit(None).cast("long").alias("superseded_by"))
+
+
+_REVIEW_SQL = """
+f AS (SELECT title AS key, MIN(doc_id) AS id, arg_min(content_hash, doc_id) AS value FROM documents WHERE title IS NOT NULL AND source = 'fact' GROUP BY title),
+p AS (SELECT doc_id AS id, title AS key, CASE WHEN doc_id % 3 = 0 THEN content_hash ELSE 'v' END AS value, doc_id % 7 <> 0 AS open FROM documents WHERE source IN ('decision', 'fact')),
+g AS (SELECT key, arg_min(value, id) AS value FROM p WHERE open AND key IS NOT NULL GROUP BY key),
+o AS (SELECT p.*, f.id AS fact_id, CASE WHEN NOT open THEN 'not_pending' WHEN p.key IS NULL THEN 'invalid' WHEN p.value = COALESCE(f.value, g.value) THEN 'accepted' ELSE 'conflict' END AS outcome
+  FROM p LEFT JOIN f ON f.key = p.key LEFT JOIN g ON g.key = p.key)"""
+
+
+@query("K08_propose", """
+SELECT COUNT(*) AS proposed, COUNT(DISTINCT doc_id) AS ids, (SELECT MAX(doc_id) FROM documents WHERE source IN ('decision', 'fact')) + COUNT(*) AS last_id FROM documents
+WHERE doc_id % 5 = 0 AND title IS NOT NULL AND trim(title) <> '' AND source = 'task'""")
+def _(t):
+    from kelpie.operators import review
+
+    proposals = t.documents.where("doc_id % 5 = 0 and source = 'task'").select(
+        F.col("doc_id").alias("seq"), F.lit("fact").alias("kind"), F.col("title").alias("key"), F.lit("v").alias("value"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("target"),
+        F.lit("because").alias("rationale"), F.lit("agent:x").alias("actor"),
+    )
+    queue = _queue(t)
+    added = review.propose(queue, proposals, events_now()).where("rationale = 'because'")
+    return added.agg(F.count(F.lit(1)).alias("proposed"), F.count_distinct("id").alias("ids"), F.max("id").alias("last_id"))
+
+
+@query("K09_accept", f"WITH {_REVIEW_SQL} SELECT id, outcome, CASE WHEN outcome = 'conflict' THEN fact_id END AS conflict_id FROM o")
+def _(t):
+    from kelpie.operators import review
+
+    queue = _queue(t)
+    return review.accept(_known_facts(t), queue, queue.select("id"), events_now()).outcomes
+
+
+@query("K09_accepted_facts", f"""
+WITH {_REVIEW_SQL}, a AS (SELECT key, ANY_VALUE(value) AS value, ANY_VALUE(fact_id) AS fact_id FROM o WHERE outcome = 'accepted' GROUP BY key)
+SELECT key, value, 'user+agent:x' AS source, fact_id IS NULL AS added FROM a UNION ALL SELECT key, value, 'user', FALSE FROM f WHERE key NOT IN (SELECT key FROM a)""")
+def _(t):
+    from kelpie.operators import review
+
+    queue, known = _queue(t), _known_facts(t)
+    facts = review.accept(known, queue, queue.select("id"), events_now()).facts
+    return facts.join(known.select("id", F.lit(False).alias("old")), "id", "left").select("key", "value", "source", F.col("old").isNull().alias("added"))
+
+
+@query("I16_probe", r"""
+WITH w AS (SELECT doc_id AS id, title AS key, list_distinct(list_filter(regexp_split_to_array(lower(title), '\s+'), lambda x: x <> '')) AS ws FROM documents WHERE title IS NOT NULL),
+c AS (SELECT * FROM w ORDER BY id DESC LIMIT 200),
+s AS (SELECT q.id AS query_id, c.id, len(list_intersect(q.ws, c.ws)) / len(q.ws) AS score FROM (SELECT * FROM w WHERE id % 50 = 0 AND len(ws) > 0) q JOIN c ON c.key <> q.key)
+SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rn FROM s) WHERE rn = 1 AND score >= 0.5""")
+def _(t):
+    from kelpie.operators import rerank, review
+
+    titled = t.documents.where("title is not null").select(F.col("doc_id").alias("id"), F.col("title").alias("key"), F.col("title").alias("text"))
+    incoming = titled.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    return review.probe(incoming, titled, rerank.LexicalOverlap(), threshold=0.5).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("I11_stale_reasons", """
+SELECT source, COUNT(*) FILTER (WHERE missing OR drift) AS stale_count, COUNT(*) AS total_count,
+  CASE WHEN bool_or(missing) AND bool_or(drift) THEN 'missing_or_drift' WHEN bool_or(missing) THEN 'missing_embeddings' WHEN bool_or(drift) THEN 'content_drift' ELSE '' END AS reason
+FROM (SELECT source, vec_id IS NULL AS missing, vec_id IS NOT NULL AND content_hash <> sha256(text) AS drift FROM documents LEFT JOIN embeddings ON vec_id = doc_id) GROUP BY source""")
+def _(t):
+    stored = t.embeddings.select(F.col("vec_id").alias("doc_id"), (F.size("embedding") != 64).alias("corrupt"))
+    drift = F.col("content_hash") != F.sha2(F.encode("text", "UTF-8"), 256)
+    flagged = t.documents.join(stored, "doc_id", "left").select("source", F.col("corrupt").isNull().alias("missing"), F.coalesce(drift, F.lit(False)).alias("drift"), F.coalesce("corrupt", F.lit(False)).alias("corrupt"))
+    return reports.stale_summary(flagged, "source")
+
+
+@query("H21_vector_bytes", "SELECT vec_id, 4 * len(embedding) AS n_bytes, TRUE AS same FROM embeddings")
+def _(t):
+    from kelpie.operators import embedding
+
+    packed = embedding.with_bytes(t.embeddings.select("vec_id", "embedding"), "embedding")
+    back = embedding.with_vector(packed, "blob", "again")
+    return back.select("vec_id", F.octet_length("blob").cast("long").alias("n_bytes"), (F.col("embedding") == F.col("again")).alias("same"))
+
+
+@query("H25_comment_strip", r"""
+SELECT id, sha256(array_to_string(list_transform(string_split(embed_text, chr(10)), lambda l: array_to_string(list_transform(range(1, len(string_split(l, '"')) + 1),
+  lambda i: CASE WHEN i % 2 = 0 OR NOT contains(string_split(l, '"')[i], '//') THEN string_split(l, '"')[i] ELSE split_part(string_split(l, '"')[i], '//', 1) || chr(1) END), '"')), chr(10))
+  .regexp_replace('\x01[^\n]*', '', 'g')) AS digest FROM code_chunks""")
+def _(t):
+    from kelpie.functions.jsonc import strip_line_comments
+
+    return t.code_chunks.select("id", F.sha2(F.encode(strip_line_comments(F.col("embed_text")), "UTF-8"), 256).alias("digest"))
+
+
+@query("I17_embed", r"SELECT doc_id, 64 AS dimension, regexp_matches(text, '[\p{L}\p{N}]') AS unit FROM documents")
+def _(t):
+    from kelpie.operators import embedding
+
+    vectors = embedding.embed(t.documents.select("doc_id", "text"), "doc_id", "text", embedding.HashedWords(64))
+    length = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    return vectors.select("doc_id", F.size("vector").alias("dimension"), (length > 0.99).alias("unit"))
+
+
+_SEEN = "TIMESTAMPTZ '2026-05-01 00:00:00+00'"
+
+
+def _seen():
+    return F.lit("2026-05-01 00:00:00").cast("timestamp")
+
+
+@query("A03_registry", f"""
+WITH r AS (SELECT 'p' || project_id AS root_path, MAX(ingested_at) AS last_seen FROM documents WHERE project_id % 3 <> 0 GROUP BY project_id),
+o AS (SELECT DISTINCT 'p' || project_id AS root_path, CASE WHEN project_id % 4 = 0 THEN '4' ELSE '3' END AS last_schema, project_id % 5 <> 0 AS live FROM prepared_docs),
+u AS (SELECT o.root_path, epoch_us(CASE WHEN r.root_path IS NULL OR o.last_schema <> '3' OR r.last_seen IS NULL OR r.last_seen < {_SEEN} - INTERVAL 1 HOUR THEN {_SEEN} ELSE r.last_seen END) AS last_seen,
+  CASE WHEN r.root_path IS NULL OR o.last_schema <> '3' THEN o.last_schema ELSE '3' END AS last_schema FROM o LEFT JOIN r USING (root_path))
+SELECT u.* FROM u JOIN o USING (root_path) WHERE live""")
+def _(t):
+    from kelpie.sources import registry
+
+    root = F.concat(F.lit("p"), F.col("project_id").cast("string"))
+    known = t.documents.where("project_id % 3 <> 0").groupBy(root.alias("root_path")).agg(F.max("ingested_at").alias("last_seen")).withColumn("last_schema", F.lit("3"))
+    opened = t.prepared_docs.select(root.alias("root_path"), F.when(F.col("project_id") % 4 == 0, "4").otherwise("3").alias("last_schema"))
+    live = t.prepared_docs.where("project_id % 5 <> 0").select(root.alias("root_path"))
+    kept = registry.prune(registry.register(known, opened, _seen()), live)
+    return kept.select("root_path", F.unix_micros("last_seen").alias("last_seen"), "last_schema")
+
+
+@query("L08_hourly_claim", f"SELECT project_id, MAX(ended_at) IS NULL OR MAX(ended_at) < {_SEEN} - INTERVAL 1 HOUR AS claimed FROM session_metrics GROUP BY project_id")
+def _(t):
+    from kelpie.sources import registry
+
+    last = t.session_metrics.groupBy("project_id").agg(F.max("ended_at").alias("last_run"))
+    return last.select("project_id", registry.may_run(F.col("last_run"), _seen()).alias("claimed"))
+
+
+@query("N05_vector_doctor", """
+SELECT 'missing_vectors' AS check_name, COUNT(*) AS n FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)
+UNION ALL SELECT 'orphan_vectors', COUNT(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT 'corrupt_vectors', COUNT(*) FROM embeddings WHERE len(embedding) <> 64 OR embedding IS NULL
+UNION ALL SELECT 'drifted_vectors', COUNT(*) FROM embeddings JOIN documents ON doc_id = vec_id WHERE content_hash <> sha256(text)
+UNION ALL SELECT 'unindexed_texts', COUNT(*) FROM documents WHERE text IS NULL OR trim(text) = ''
+UNION ALL SELECT 'settings', 0""")
+def _(t):
+    from kelpie.sources.files import Settings, setting_problems
+
+    sources = t.documents.select(F.col("doc_id").alias("id"), F.sha2(F.encode("text", "UTF-8"), 256).alias("content_hash"))
+    hashed = t.documents.select(F.col("doc_id").alias("vec_id"), "content_hash")
+    vectors = t.embeddings.join(hashed, "vec_id", "left").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "content_hash")
+    wrong = t.spark.createDataFrame([(p,) for p in setting_problems(Settings())], "problem string")
+    unindexed = t.documents.where("text is null or trim(text) = ''")
+    return reports.health({**reports.vector_checks(sources, vectors, 64), "unindexed_texts": unindexed, "settings": wrong})
+
+
+@query("N08_by_session", """
+WITH s AS (SELECT session_id, MIN(agent) AS agent, MIN(started_at) AS started_at, SUM(input_tokens) AS i, SUM(output_tokens) AS o FROM session_metrics GROUP BY session_id),
+r AS (SELECT session_id, COUNT(*) AS recalls, COUNT(*) FILTER (WHERE cache_creation_tokens > 0) AS found, MIN(cache_read_tokens) AS ledger, SUM(CASE WHEN cache_creation_tokens > 0 THEN cache_creation_tokens ELSE 0 END) AS bundles
+  FROM session_turn_metrics GROUP BY session_id),
+x AS (SELECT s.session_id, agent, started_at, i + o AS delta, CASE WHEN COALESCE(found, 0) > 0 THEN GREATEST(0, ledger - bundles) ELSE 0 END AS spared, COALESCE(recalls, 0) AS recalls FROM s LEFT JOIN r USING (session_id))
+SELECT session_id, delta::BIGINT AS delta, SUM(GREATEST(delta, 0)) OVER w::BIGINT AS total_delta, SUM(GREATEST(COALESCE(spared, 0), 0)) OVER w::BIGINT AS total_offset, SUM(recalls) OVER w::BIGINT AS total_recalls
+FROM x WINDOW w AS (PARTITION BY agent ORDER BY started_at, session_id ROWS UNBOUNDED PRECEDING)""")
+def _(t):
+    sessions = t.session_metrics.groupBy("session_id").agg(
+        F.min("agent").alias("agent"), F.min("started_at").alias("started_at"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens")
+    )
+    recalls = t.session_turn_metrics.select("session_id", F.col("cache_creation_tokens").alias("bundle_tokens"), F.col("cache_read_tokens").alias("ledger_tokens"))
+    return reports.session_series(sessions, recalls, "agent").select("session_id", "delta", "total_delta", "total_offset", "total_recalls")
+
+
+@query("N11_project_page", r"""
+WITH n AS (SELECT doc_id, ingested_at, row_number() OVER (ORDER BY ingested_at DESC, doc_id DESC) AS k, '- **' || strftime(ingested_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') || '** (project ' || project_id || ') — ' || trim(regexp_replace(text, '\s+', ' ', 'g')) AS line
+  FROM documents WHERE source = 'session_note' AND ingested_at IS NOT NULL)
+SELECT row_number() OVER (ORDER BY part, k) AS ord, line FROM (
+  SELECT 0 AS part, 0 AS k, '# Project' AS line UNION ALL SELECT 1, -2, '' UNION ALL SELECT 1, -1, '## Recent session notes' UNION ALL SELECT 1, 0, '' UNION ALL SELECT 1, k, line FROM n WHERE k <= 10
+  UNION ALL SELECT 2, -2, '' UNION ALL SELECT 2, -1, '## Open questions' UNION ALL SELECT 2, 0, '' UNION ALL SELECT 2, 1, '_Nothing recorded._')""")
+def _(t):
+    notes = t.documents.where("source = 'session_note' and ingested_at is not null").select(
+        F.col("doc_id").alias("id"), "text", F.col("ingested_at").alias("created_at"), F.concat(F.lit("project "), F.col("project_id").cast("string")).alias("actor")
+    )
+    lines = reports.note_lines(notes, 10)
+    return reports.page([("Recent session notes", lines), ("Open questions", lines.where("ord < 0"))], "Project")
+
+
 QUERIES, SQL = family.QUERIES, family.SQL

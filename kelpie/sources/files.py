@@ -46,19 +46,43 @@ def markdown_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Settings:
-    """Settings of retrieval and retention."""
+    """Settings of retrieval, accounting and retention."""
 
     mode: str = "fts"
     accepted_only: bool = False
     include_stale: bool = True
     horizon_days: int = 90
     pool: int = 20
-    max_results: int = 8
+    max_results: int = 6
     text_weight: float = 0.5
     vector_weight: float = 0.5
+    stale_penalty: float = 0.3
+    superseded_penalty: float = 0.4
+    age_half_life_days: int = 0
+    use_reranker: bool = True
+    min_rerank_score: float = 2.0
+    doc_min_rerank_score: float = 0.0
+    docs_by_default: bool = False
+    code_text_weight: float = 0.5
+    code_vector_weight: float = 0.5
+    test_path_penalty: float = 0.9
+    metrics: bool = False
+    retention_days: int = 90
+    calibration: float = 1.0
+    global_store: bool = False
+    sync: bool = False
     deny: tuple[str, ...] = field(default=tuple(DEFAULT_DENY))
 
 
+def setting_problems(settings: Settings) -> list[str]:
+    """What is out of range: names of the settings with what they must be."""
+    share = ("text_weight", "vector_weight", "stale_penalty", "superseded_penalty", "code_text_weight", "code_vector_weight", "test_path_penalty")
+    out = [f"{name} must be between 0 and 1" for name in share if not 0 <= getattr(settings, name) <= 1]
+    out += [f"{name} must be above 0" for name in ("horizon_days", "pool", "max_results", "calibration") if getattr(settings, name) <= 0]
+    out += [f"{name} must not be below 0" for name in ("age_half_life_days", "retention_days") if getattr(settings, name) < 0]
+    return out + ([] if settings.mode in ("fts", "hybrid") else ["mode must be fts or hybrid"])
+
+
 def load_settings(path: str) -> Settings:
     """Settings from a TOML file; unknown names and values of another type raise ValueError."""
     with open(path, "rb") as file:
