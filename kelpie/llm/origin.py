@@ -124,7 +124,7 @@ _NUMBER = r"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?)(?![\w.])"
 _WORD = r"[A-Za-z_]\w*"
 _ENCODED = r"[A-Za-z0-9+/=_\-]{64,}"
 _ROW = r"(?m)^[ \t]*(?:[\[{(]*-?(?:0[xX][0-9a-fA-F]+|\d)[ \t\d.,xXa-fA-F\-\]})]*|\{[ \t]*\"\w+\":.*\}),?[ \t]*$"
-_HEAD = r"^(?:\s*(?://|#|/\*|\*|--|<!--|;)[^\n]*(?:\n|$))+"
+_REMARK = r"^\s*(?://|#|/\*|\*|--|<!--|;)"
 
 
 def language_of(path: Column, language: Column) -> Column:
@@ -163,6 +163,9 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
     dense = F.filter(long_lines, lambda line: F.length(line) - bare(line) < 0.1 * F.length(line))
     total = lambda lines: F.aggregate(lines, F.lit(0), lambda n, line: n + F.length(line))
     numbered = F.transform(F.filter("_lines", lambda line: line.rlike("[0-9]")), lambda line: F.regexp_replace(F.trim(line), r"0[xX][0-9a-fA-F]+|\d+", "#"))
+    # the comment lines at the start, blank ones between them too, line by line: files may have any number of them
+    code = F.filter(F.transform("_lines", lambda line, i: F.when((F.trim(line) == "") | line.rlike(_REMARK), -1).otherwise(i)), lambda i: i >= 0)
+    head = F.slice("_lines", 1, F.coalesce(F.get(code, F.lit(0)), F.size("_lines")))
     removed = lambda pattern: F.length(body) - F.length(F.regexp_replace(body, pattern, ""))
     return chunks.select("id", "file_id", chunk_body(F.col("embed_text")).alias("body")).withColumn("_lines", F.split("body", "\n")).select(
         "id",
@@ -180,7 +183,7 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
         removed(_ENCODED).alias("encoded"),
         F.regexp_count(body, F.lit(_ROW)).alias("rows"),
         F.regexp_count(body, F.lit(r"(?m)^[ \t]*(?://|#|/\*|\*|$)")).alias("remarks"),
-        F.regexp_extract(body, _HEAD, 0).alias("head"),
+        F.array_join(head, "\n").alias("head"),
     )
 
 
