@@ -1,9 +1,12 @@
-"""Digests of tables: equal for equal rows whatever their order, different for null and empty."""
+"""Digests of tables: equal for equal rows whatever their order in the files, different for null and empty."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampType
+
+from kelpie.operators.series import sliced
 
 
 def row_frame(columns: list[str]) -> Column:
@@ -16,17 +19,21 @@ def row_frame(columns: list[str]) -> Column:
 
 
 def table_digest(df: DataFrame, name: str, keys: list[str], columns: list[str], slices: int = 4096) -> DataFrame:
-    """(table_name, row_count, digest): SHA-256 over the rows in key order.
+    """(table_name, row_count, digest): SHA-256 over the table's name and its rows in the order of their keys.
 
-    Rows are hashed, sorted by key and hash within slices of the key's hash, and the slices' digests
-    hashed in turn; so no list is longer than a slice and the digest needs no global order.
+    The rows' digests are put in the order of the keys within slices of the first key, and the slices'
+    digests in the order of the slices, so no list is longer than a slice and nothing is sorted in one
+    place. A key that is a number or an instant is sliced by ranges, another one by its hash. Rows with
+    the same key are put in the order of their digests.
     """
-    hashed = df.select(
-        F.pmod(F.xxhash64(*keys), F.lit(slices)).alias("slice"), F.sha2(F.encode(row_frame(columns), "UTF-8"), 256).alias("h")
-    )
-    by_slice = hashed.groupBy("slice").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count(F.lit(1)).alias("n"))
+    ranged = isinstance(df.schema[keys[0]].dataType, (NumericType, TimestampType, DateType))
+    placed = sliced(df, F.col(keys[0]), slices) if ranged else df.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int"))
+    hashed = placed.select("_slice", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.sha2(F.encode(row_frame(columns), "UTF-8"), 256).alias("h"))
+    rows = F.array_sort(F.collect_list(F.struct(*[f"_k{i}" for i in range(len(keys))], "h")))
+    by_slice = hashed.groupBy("_slice").agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["h"]), ""), 256).alias("d"), F.count(F.lit(1)).alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("_slice", "d")))
     whole = by_slice.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
-        F.sha2(F.concat(F.lit(f"{name}|"), F.array_join(F.array_sort(F.collect_list(F.concat(F.col("slice").cast("string"), F.lit("="), F.col("d")))), "|")), 256).alias("digest"),
+        F.sha2(F.concat(F.lit(f"{name}|"), F.array_join(F.transform(ordered, lambda s: F.concat(s["_slice"].cast("string"), F.lit("="), s["d"])), "|")), 256).alias("digest"),
     )
     return whole.select(F.lit(name).alias("table_name"), "row_count", "digest")

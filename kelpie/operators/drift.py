@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.operators.ordering import previous_in_group
+from kelpie.operators.series import so_far
 from kelpie.session import cut
 
 BINS = 10
@@ -298,6 +299,8 @@ def schema_changes(files: DataFrame, fields: DataFrame) -> DataFrame:
     return matched.unionByName(retyped.select("file_id", F.col("path").alias("old_field"), F.col("path").alias("new_field")))
 
 
+STRETCH = 10_000  # lines of a file that are read with one copy of its field roles
+
 # --- one consistent table --------------------------------------------------------------------------
 
 # The columns of a turn, and the words by which a field is recognised as one of them.
@@ -342,15 +345,13 @@ def first_names(files: DataFrame, fields: DataFrame, changes: DataFrame) -> Data
         .join(at, "file_id")
         .select("stream_id", "opened_at", "old_field", "new_field")
     )
-    order = Window.partitionBy("stream_id", "path").orderBy("opened_at", F.col("kind"))
-    seen = Window.partitionBy("stream_id", "path").orderBy("opened_at", F.col("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    order = [F.col("opened_at"), F.col("kind")]
     into = events.select("stream_id", F.col("new_field").alias("path"), "opened_at", F.lit(0).alias("kind"),
                          F.struct("new_field", "opened_at").alias("event"), F.lit(None).cast("string").alias("for_path"))
     out_of = events.select("stream_id", F.col("old_field").alias("path"), "opened_at", F.lit(-1).alias("kind"),
                            F.lit(None).cast("struct<new_field:string,opened_at:timestamp>").alias("event"), F.col("new_field").alias("for_path"))
     linked = (
-        into.unionByName(out_of)
-        .withColumn("parent", F.last("event", ignorenulls=True).over(seen))
+        so_far(into.unionByName(out_of).withColumn("field", F.struct("stream_id", "path")), "field", order, {"parent": ("last", F.col("event"))})
         .where("kind = -1")
         .select("stream_id", F.col("for_path").alias("new_field"), "opened_at", F.col("path").alias("root"), F.col("parent"))
     )
@@ -366,12 +367,8 @@ def first_names(files: DataFrame, fields: DataFrame, changes: DataFrame) -> Data
         )
     uses = fields.select("file_id", "path").join(at, "file_id").select("stream_id", "path", "opened_at", F.lit(1).alias("kind"), "file_id", F.lit(None).cast("string").alias("root"))
     starts = linked.select("stream_id", F.col("new_field").alias("path"), "opened_at", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("file_id"), "root")
-    return (
-        uses.unionByName(starts)
-        .withColumn("first_path", F.coalesce(F.last("root", ignorenulls=True).over(order), "path"))
-        .where("kind = 1")
-        .select("file_id", "path", "first_path")
-    )
+    named = so_far(uses.unionByName(starts).withColumn("field", F.struct("stream_id", "path")), "field", [*order, F.col("file_id")], {"_root": ("last", F.col("root"))})
+    return named.where("kind = 1").select("file_id", "path", F.coalesce("_root", "path").alias("first_path"))
 
 
 def _number(value: object) -> int | None:
@@ -410,10 +407,10 @@ def unified_turns(files: DataFrame, lines: DataFrame, fields: DataFrame, changes
 
     Renamed, moved and retyped fields end in the same column; numbers that came as text are numbers
     again; missing counters are null; reasoning tokens count as output. A line that repeats counts once,
-    by its latest reading. Damaged lines stay, with parsed = false, blank ones with parsed = null. Each file's field roles are joined to its lines on a salted key,
-    so a file with a third of all lines is spread.
+    by its latest reading. Damaged lines stay, with parsed = false, blank ones with parsed = null. A
+    file's field roles are joined to its lines by stretches of `STRETCH` lines, so a file with a third of
+    all lines is spread, and the roles of others aren't copied.
     """
-    salts = 32
     role = F.udf(turn_field, "string")  # on distinct names only
     named = first_names(files, fields, changes)
     known = named.select("first_path").distinct().withColumn("role", role("first_path")).where(F.col("role").isNotNull())
@@ -421,10 +418,12 @@ def unified_turns(files: DataFrame, lines: DataFrame, fields: DataFrame, changes
         named.join(known, "first_path")
         .groupBy("file_id")
         .agg(F.map_from_entries(F.collect_set(F.struct("path", "role"))).alias("roles"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .join(lines.groupBy("file_id").agg(F.min("line_no").alias("_low"), F.max("line_no").alias("_high")), "file_id")
+        .withColumn("_stretch", F.explode(F.sequence(F.floor(F.col("_low") / STRETCH), F.floor(F.col("_high") / STRETCH))))
+        .drop("_low", "_high")
     )
     once = lines.groupBy("file_id", "line_no").agg(F.max(F.struct("read_at", "raw_line"))["raw_line"].alias("raw_line"))
-    joined = once.withColumn("_salt", F.pmod("line_no", F.lit(salts)).cast("int")).join(roles, ["file_id", "_salt"], "left")
+    joined = once.withColumn("_stretch", F.floor(F.col("line_no") / STRETCH)).join(roles, ["file_id", "_stretch"], "left")
     schema = "file_id long, line_no long, parsed boolean, ts string, session_id string, " + ", ".join(f"{c} long" for c in list(TURN_FIELDS)[2:])
     turns = joined.select("file_id", "line_no", "raw_line", "roles").mapInPandas(_turn_batches, schema)
     return turns.withColumn("ts", F.try_to_timestamp("ts"))

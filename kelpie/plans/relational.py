@@ -458,7 +458,14 @@ def _(t):
     return t.session_turn_metrics.groupBy("session_id").agg(F.unix_micros(F.min("ts")).alias("first_at"), F.unix_micros(F.max("ts")).alias("last_at"))
 
 
-@query("D20_digest")
+_FRAME = " || ".join(f"CASE WHEN {c} IS NULL THEN 'N;' ELSE 'V' || octet_length(encode({c}::VARCHAR)) || ':' || {c} || ';' END" for c in ("doc_id", "title", "text", "lang", "source"))
+
+
+@query("D20_digest", f"""
+WITH b AS (SELECT MIN(doc_id)::DOUBLE AS low, MAX(doc_id)::DOUBLE AS high FROM documents),
+h AS (SELECT doc_id, LEAST(CAST(floor((doc_id::DOUBLE - low) * (4096 / (high - low))) AS INTEGER), 4095) AS slice, sha256({_FRAME}) AS h FROM documents, b),
+s AS (SELECT slice, sha256(string_agg(h, '' ORDER BY doc_id, h)) AS d, COUNT(*) AS n FROM h GROUP BY slice)
+SELECT 'documents' AS table_name, SUM(n)::BIGINT AS row_count, sha256('documents|' || string_agg(slice || '=' || d, '|' ORDER BY slice)) AS digest FROM s""")
 def _(t):
     from kelpie.operators.digest import table_digest
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import subprocess
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +31,23 @@ def parse_log(logs: DataFrame) -> DataFrame:
     return changes.select("sha", "author", "committed_at", "message", kind.alias("change_type"), F.element_at(fields, -1).alias("path"))
 
 
-def read_log(spark: SparkSession, repository: str) -> DataFrame:
-    """The history of a local repository, read by git on the driver."""
-    command = ["git", "-C", repository, "log", "--name-status", "--find-renames", f"--format={FORMAT}"]
-    text = subprocess.run(command, capture_output=True, check=True).stdout.decode("utf-8", "replace")
-    return parse_log(spark.createDataFrame([(text,)], "value string"))
+def read_log(spark: SparkSession, repository: str, stretch: int = 500) -> DataFrame:
+    """The history of a repository that all executors reach, read by git in stretches of so many commits.
+
+    The driver lists the commits' names alone; each stretch is read by one task.
+    """
+    names = subprocess.run(["git", "-C", repository, "rev-list", "HEAD"], capture_output=True).stdout.decode().split()
+    stretches = [("\n".join(names[i : i + stretch]),) for i in range(0, len(names), stretch)]
+    command = ["git", "-C", repository, "log", "--no-walk=unsorted", "--stdin", "--name-status", "--find-renames", f"--format={FORMAT}"]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for wanted in batch["value"]:
+                text = subprocess.run(command, input=wanted.encode(), capture_output=True, check=True).stdout
+                yield pd.DataFrame({"value": [text.decode("utf-8", "replace")]})
+
+    asked = spark.createDataFrame(stretches, "value string").repartition(max(1, len(stretches)))
+    return parse_log(asked.mapInPandas(read, "value string"))
 
 
 def head(repository: str) -> str | None:

@@ -1,7 +1,8 @@
 """A stream over files that grow: each is read from the byte where the last batch ended.
 
 Only lines that a line feed ends are taken. A file that is shorter than its offset was rewritten: it is
-read again from its start, and `generation` tells its lines from the earlier ones.
+read again from its start, and `generation` tells its lines from the earlier ones. What was added to a
+file is read in stretches of `STRETCH` bytes, a line by the task in whose stretch it begins.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 
+STRETCH = 64 << 20
+
+
 class Slice(InputPartition):
-    """A byte range of one file."""
+    """A byte range of one file; lines that begin in it belong to it. The first range of a batch begins with a line."""
 
-    def __init__(self, path: str, start: int, end: int, generation: int):
-        self.path, self.start, self.end, self.generation = path, start, end, generation
+    def __init__(self, path: str, start: int, end: int, generation: int, first: bool = True):
+        self.path, self.start, self.end, self.generation, self.first = path, start, end, generation, first
 
 
 def complete_end(path: str, start: int) -> int:
@@ -59,16 +63,19 @@ class GrowingFileReader(DataSourceStreamReader):
             begin, before = start.get(path, [0, 0])
             begin = begin if before == generation else 0
             self.seen.setdefault(path, [stop, generation])
-            if stop > begin:
-                slices.append(Slice(path, begin, stop, generation))
+            for at in range(begin, stop, STRETCH):
+                slices.append(Slice(path, at, min(at + STRETCH, stop), generation, at == begin))
         return slices or [Slice("", 0, 0, 0)]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
         if not partition.path:
             return
         with open(partition.path, "rb") as file:
-            file.seek(partition.start)
             at = partition.start
+            if not partition.first:  # the line that is under way belongs to the stretch before
+                file.seek(at - 1)
+                at += len(file.readline()) - 1
+            file.seek(at)
             while at < partition.end:
                 line = file.readline()
                 if not line:

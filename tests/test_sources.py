@@ -136,3 +136,37 @@ def test_growing_files(spark, tmp_path):
 def test_clock_is_a_parameter():
     package = Path(store.__file__).resolve().parents[1]
     assert not [p for p in package.rglob("*.py") if "current_timestamp" in p.read_text() or "datetime.now" in p.read_text()]
+
+
+def test_stretches_of_a_growing_file(tmp_path, monkeypatch):
+    from kelpie.streaming import growing_files
+
+    path = tmp_path / "a.jsonl"
+    lines = ["x" * n for n in (0, 3, 40, 1, 0, 0, 9, 120, 2)]
+    path.write_text("".join(line + "\n" for line in lines) + "unfinished")
+    for stretch in (1, 2, 5, 7, 50, 1000):
+        monkeypatch.setattr(growing_files, "STRETCH", stretch)
+        reader = growing_files.GrowingFileReader(str(path))
+        end = reader.latestOffset()
+        found = [row for part in reader.partitions({}, end) for row in reader.read(part)]
+        assert [r[3] for r in found] == lines and [r[2] for r in found] == [sum(len(x) + 1 for x in lines[:i]) for i in range(len(lines))], stretch
+        later = reader.partitions({str(path): [5, 0]}, end)
+        assert [r[3] for part in later for r in reader.read(part)] == lines[2:]
+
+
+def test_documents_in_another_layout(spark, tmp_path):
+    from kelpie.sources import exchange
+    from kelpie.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    odd = spark.createDataFrame([(2, 'a "q" \n ]'), (1, None), (3, ",{")], "id long, text string")
+    store.save({"notes": odd, "none": odd.limit(0)})
+    exchange.export_json(store, str(tmp_path / "e.json"), "user")
+    document = json.loads((tmp_path / "e.json").read_text())
+    assert [r["id"] for r in document["notes"]] == [1, 2, 3] and document["none"] == []
+    (tmp_path / "one.json").write_text(json.dumps(document))
+    for name in ("e.json", "one.json"):
+        other = Store(spark, str(tmp_path / name[:-5]))
+        assert sorted(exchange.import_json(other, str(tmp_path / name))) == ["none", "notes"]
+        assert sorted(map(tuple, other.table("notes").collect()), key=repr) == sorted(map(tuple, odd.collect()), key=repr) and other.table("none").isEmpty()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["e", "e.json", "one", "one.json", "s"]
