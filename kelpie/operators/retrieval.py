@@ -37,27 +37,34 @@ def query_phrases(queries: DataFrame) -> DataFrame:
 ALL = ""  # stands for a word that every document has once; no token is empty
 
 
+def _phrase_count(terms, words):
+    """How often the words stand in a row in `terms`."""
+    return F.size(F.filter(terms, lambda t, i: (t == words[0]) & (F.slice(terms, i + 1, F.size(words)) == words))).cast("long")
+
+
 def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase, id, length, f): the documents that hold each of the distinct `phrases` (words), f times; the
     phrase is its words with blanks between. Every document has a row for the phrase `ALL`.
 
-    An inverted index of the words that are asked for: texts are tokenised once, words nobody asks for
-    are dropped where they stand, and positions are gathered per word and document, so a word that every
-    document has is spread over as many keys as there are documents. Phrases of several words are the
-    positions that their words share when shifted to the first.
+    An inverted index of the words that are asked for: tokens that nobody asks for are dropped where they
+    stand, the others counted by word and document before they are moved. A word that every document has
+    is spread over as many keys as there are documents. Phrases of several words are looked for in the
+    documents that hold all of the words.
     """
-    named = phrases.select("words").distinct().select(F.array_join("words", " ").alias("phrase"), F.size("words").alias("k"), F.posexplode("words").alias("j", "term"))
-    everything = phrases.sparkSession.createDataFrame([(ALL, 1, 0, ALL)], "phrase string, k int, j int, term string")
-    asked = named.unionByName(everything)
-    words = docs.select("id", "length", F.posexplode(F.concat("terms", F.array(F.lit(ALL)))).alias("pos", "term"))
-    postings = words.join(asked.select("term").distinct(), "term").groupBy("term", "id", "length").agg(F.collect_list("pos").alias("at"))
-    placed = postings.join(asked, "term")
-    single = placed.where("k = 1").select("phrase", "id", "length", F.size("at").cast("long").alias("f"))
-    shifted = placed.where("k > 1").select("phrase", "k", "id", "length", F.transform("at", lambda x: x - F.col("j")).alias("at"))
-    together = shifted.groupBy("phrase", "k", "id", "length").agg(F.collect_list("at").alias("lists")).where("size(lists) = k")
-    starts = F.aggregate(F.slice("lists", 2, F.size("lists")), F.col("lists")[0], F.array_intersect)
-    several = together.select("phrase", "id", "length", F.size(starts).cast("long").alias("f")).where("f > 0")
-    return single.unionByName(several)
+    asked = phrases.select(F.array_join("words", " ").alias("phrase"), "words").distinct()
+    single, several = asked.where("size(words) = 1"), asked.where("size(words) > 1")
+    everything = phrases.sparkSession.createDataFrame([(ALL,)], "phrase string")
+    parts = several.select("phrase", "words", F.size(F.array_distinct("words")).alias("n"), F.explode(F.array_distinct("words")).alias("word"))
+    wanted = single.select("phrase").unionByName(parts.select(F.col("word").alias("phrase"))).unionByName(everything).distinct()
+    exploded = docs.select("id", "length", F.explode(F.concat("terms", F.array(F.lit(ALL)))).alias("phrase"))
+    postings = exploded.join(wanted, "phrase").groupBy("phrase", "id", "length").agg(F.count(F.lit(1)).alias("f"))
+    if several.isEmpty():
+        return postings
+    postings = cut(postings)
+    of_words = postings.select(F.col("phrase").alias("word"), "id")
+    likely = parts.join(of_words, "word").groupBy("phrase", "words", "n", "id").agg(F.count(F.lit(1)).alias("held")).where("held = n").select("phrase", "words", "id")
+    counted = docs.join(likely, "id").select("phrase", "id", "length", _phrase_count(F.col("terms"), F.col("words")).alias("f")).where("f > 0")
+    return postings.join(single.select("phrase").unionByName(everything), "phrase", "left_semi").unionByName(counted)
 
 
 def holding_all(hits: DataFrame, asked: DataFrame) -> DataFrame:

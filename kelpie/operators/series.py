@@ -16,24 +16,35 @@ def _united(kind: str, before: Column, here: Column) -> Column:
     return {"max": F.greatest, "min": F.least, "last": lambda b, h: F.coalesce(h, b)}[kind](before, here)
 
 
-def sliced(df: DataFrame, order: Column, slices: int = SLICES) -> DataFrame:
-    """`df` with `_slice`: which of so many equal ranges of the order (a number or an instant) a row is in; nulls come first."""
+Bounds = tuple[float | None, float | None]
+
+
+def bounds_of(df: DataFrame, order: Column) -> Bounds:
+    """The least and the greatest value of an order, as numbers."""
     at = order.cast("double")
-    low, high = df.agg(F.min(at), F.max(at)).first()
+    return tuple(df.agg(F.min(at), F.max(at)).first())
+
+
+def sliced(df: DataFrame, order: Column, slices: int = SLICES, bounds: Bounds | None = None) -> DataFrame:
+    """`df` with `_slice`: which of so many equal ranges of the order (a number or an instant) a row is in; nulls come first."""
+    low, high = bounds or bounds_of(df, order)
     if low is None or high == low:
         return df.withColumn("_slice", F.when(order.isNull(), F.lit(-1)).otherwise(F.lit(0)))
-    place = F.least(F.floor((at - F.lit(low)) * F.lit(slices / (high - low))), F.lit(slices - 1))
+    place = F.least(F.floor((order.cast("double") - F.lit(low)) * F.lit(slices / (high - low))), F.lit(slices - 1))
     return df.withColumn("_slice", F.coalesce(place, F.lit(-1)).cast("int"))
 
 
-def so_far(df: DataFrame, group: str, order: list[Column], parts: dict[str, tuple[str, Column]], whole: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+def so_far(
+    df: DataFrame, group: str, order: list[Column], parts: dict[str, tuple[str, Column]], whole: dict[str, tuple[str, Column]] | None = None, bounds: Bounds | None = None
+) -> DataFrame:
     """Adds the sum, max, min or last value that isn't null of an expression over a group's rows up to each row.
 
     No group is sorted in one place: it is cut into slices of its order, each is summed up by itself, and
     only the slices' totals, `SLICES` a group, are put in a row. `whole` adds aggregates over the group.
-    The order's first column is a number or an instant; the order must be total.
+    The order's first column is a number or an instant, its `bounds` are looked up where they aren't
+    given; the order must be total.
     """
-    keyed = sliced(df, order[0]).withColumn("_g", F.struct(group))  # a null is a group, too
+    keyed = sliced(df, order[0], bounds=bounds).withColumn("_g", F.struct(group))  # a null is a group, too
     inside = Window.partitionBy("_g", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     every = {**parts, **{f"_w_{n}": p for n, p in (whole or {}).items()}}
     columns = keyed.withColumns({f"_v_{n}": value for n, (_, value) in every.items()})
@@ -66,8 +77,9 @@ def strictly_increasing(df: DataFrame, group: str, order: list[str], x: str, out
     stays null.
     """
     ordered = [F.col(o) for o in order]
-    numbered = so_far(df, group, ordered, {"_i": ("sum", F.lit(1).cast("long"))})
-    lifted = so_far(numbered, group, ordered, {"_lift": ("max", F.col(x) - F.col("_i"))})
+    bounds = bounds_of(df, ordered[0])
+    numbered = so_far(df, group, ordered, {"_i": ("sum", F.lit(1).cast("long"))}, bounds=bounds)
+    lifted = so_far(numbered, group, ordered, {"_lift": ("max", F.col(x) - F.col("_i"))}, bounds=bounds)
     return lifted.withColumn(out, F.col("_i") + F.col("_lift")).drop("_i", "_lift")
 
 
@@ -77,6 +89,18 @@ def first_qualifying(df: DataFrame, group: str, order: list[str], condition: Col
     return counted.withColumn(out, F.when(condition & (F.col("_nth") == 1), F.col(amount)).otherwise(F.lit(0))).drop("_nth")
 
 
+def turn_series(turns: DataFrame, group: str, order: str, x: str, amount: str, qualifies: Column, spared: str) -> DataFrame:
+    """`turns` with the running total of an amount, strictly increasing positions and the counterfactual: the
+    running total of what the first qualifying turn of a group spared. Two passes for all of them."""
+    ordered, bounds = [F.col(order)], bounds_of(turns, F.col(order))
+    positive = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))
+    first = {"_i": ("sum", F.lit(1).cast("long")), "_nth": ("sum", F.when(qualifies, 1).otherwise(0)), f"total_{amount}": ("sum", positive(F.col(amount)))}
+    numbered = so_far(turns, group, ordered, first, bounds=bounds)
+    offset = F.when(qualifies & (F.col("_nth") == 1), positive(F.col(spared))).otherwise(F.lit(0))
+    second = so_far(numbered, group, ordered, {"_lift": ("max", F.col(x) - F.col("_i")), "counterfactual": ("sum", offset)}, bounds=bounds)
+    return second.withColumn("x_strict", F.col("_i") + F.col("_lift")).drop("_i", "_nth", "_lift")
+
+
 def latest_per(df: DataFrame, group: list[str], order: list[str], keep: list[str]) -> DataFrame:
     """The last row per group in a total order, as an aggregate: no group is sorted."""
     last = F.max(F.struct(*order, *[k for k in keep if k not in order])).alias("_last")

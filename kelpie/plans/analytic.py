@@ -28,7 +28,7 @@ def _(t):
 SELECT id, SUM(GREATEST(COALESCE(input_tokens, 0), 0)) OVER w::BIGINT AS total_input_tokens, SUM(GREATEST(COALESCE(output_tokens, 0), 0)) OVER w::BIGINT AS total_output_tokens
 FROM session_turn_metrics WINDOW w AS (PARTITION BY session_id ORDER BY id ROWS UNBOUNDED PRECEDING)""")
 def _(t):
-    totals = series.running_total(t.session_turn_metrics, "session_id", ["id"], ["input_tokens", "output_tokens"])
+    totals = series.running_total(t.session_turn_metrics.select("id", "session_id", "input_tokens", "output_tokens"), "session_id", ["id"], ["input_tokens", "output_tokens"])
     return totals.select("id", "total_input_tokens", "total_output_tokens")
 
 

@@ -326,11 +326,9 @@ SELECT id, SUM(GREATEST(input_tokens, 0)) OVER w::BIGINT AS total_input_tokens,
 FROM (SELECT *, epoch_us(ts) // 1000000 AS x, cache_read_tokens > 1000 AS good, row_number() OVER (PARTITION BY session_id ORDER BY id) AS i,
   row_number() OVER (PARTITION BY session_id, cache_read_tokens > 1000 ORDER BY id) AS nth FROM session_turn_metrics) WINDOW w AS (PARTITION BY session_id ORDER BY id ROWS UNBOUNDED PRECEDING)""")
 def _(t):
-    turns = t.session_turn_metrics.withColumn("x", F.expr("unix_micros(ts) div 1000000"))
-    flagged = series.first_qualifying(turns, "session_id", ["id"], F.col("cache_read_tokens") > 1000, "cache_read_tokens", "offset")
-    placed = series.strictly_increasing(flagged, "session_id", ["id"], "x")
-    totals = series.running_total(placed, "session_id", ["id"], ["input_tokens", "offset"])
-    return totals.select("id", "total_input_tokens", "x_strict", F.col("total_offset").alias("counterfactual"))
+    turns = t.session_turn_metrics.select("id", "session_id", "input_tokens", "cache_read_tokens", F.expr("unix_micros(ts) div 1000000").alias("x"))
+    found = series.turn_series(turns, "session_id", "id", "x", "input_tokens", F.col("cache_read_tokens") > 1000, "cache_read_tokens")
+    return found.select("id", "total_input_tokens", "x_strict", "counterfactual")
 
 
 @query("N09_recent_sessions", "SELECT session_id, agent, input_tokens + output_tokens AS tokens FROM session_metrics ORDER BY started_at DESC, session_id, last_scanned_offset DESC NULLS LAST, input_tokens LIMIT 20")
