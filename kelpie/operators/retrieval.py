@@ -35,36 +35,40 @@ def query_phrases(queries: DataFrame) -> DataFrame:
 
 
 ALL = ""  # stands for a word that every document has once; no token is empty
+PHRASE_BLOCK = 1 << 16  # phrases that are sent to the executors at once
+TEXT_BLOCK = 4096  # texts of queries, likewise
 
 
-def _phrase_count(terms, words):
-    """How often the words stand in a row in `terms`."""
-    return F.size(F.filter(terms, lambda t, i: (t == words[0]) & (F.slice(terms, i + 1, F.size(words)) == words))).cast("long")
+def _in_blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """`df`, which is materialised, in parts of about `most` rows that may be broadcast."""
+    blocks = max(1, -(-df.count() // most))
+    number = F.pmod(F.xxhash64(key), F.lit(blocks))
+    return [F.broadcast(df.where(number == n) if blocks > 1 else df) for n in range(blocks)]
 
 
-def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, id, length, f): the documents that hold each of the distinct `phrases` (words), f times; the
-    phrase is its words with blanks between. Every document has a row for the phrase `ALL`.
+def documents_held(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(id, length, held): every document with a map of the asked `phrases` (words) that it holds and how often,
+    materialised. A phrase is its words with blanks between; every document holds `ALL` once.
 
-    An inverted index of the words that are asked for: tokens that nobody asks for are dropped where they
-    stand, the others counted by word and document before they are moved. A word that every document has
-    is spread over as many keys as there are documents. Phrases of several words are looked for in the
-    documents that hold all of the words.
+    Documents are never joined by word and never broadcast, for Spark takes them to be no more when they
+    are exploded. The phrases are sent to them instead, a block at a time, and found where their first word
+    stands; tokens that begin none are dropped in the scan, the others counted by document before they are moved.
     """
-    asked = phrases.select(F.array_join("words", " ").alias("phrase"), "words").distinct()
-    single, several = asked.where("size(words) = 1"), asked.where("size(words) > 1")
-    everything = phrases.sparkSession.createDataFrame([(ALL,)], "phrase string")
-    parts = several.select("phrase", "words", F.size(F.array_distinct("words")).alias("n"), F.explode(F.array_distinct("words")).alias("word"))
-    wanted = single.select("phrase").unionByName(parts.select(F.col("word").alias("phrase"))).unionByName(everything).distinct()
-    exploded = docs.select("id", "length", F.explode(F.concat("terms", F.array(F.lit(ALL)))).alias("phrase"))
-    postings = exploded.join(wanted, "phrase").groupBy("phrase", "id", "length").agg(F.count(F.lit(1)).alias("f"))
-    if several.isEmpty():
-        return postings
-    postings = cut(postings)
-    of_words = postings.select(F.col("phrase").alias("word"), "id")
-    likely = parts.join(of_words, "word").groupBy("phrase", "words", "n", "id").agg(F.count(F.lit(1)).alias("held")).where("held = n").select("phrase", "words", "id")
-    counted = docs.join(likely, "id").select("phrase", "id", "length", _phrase_count(F.col("terms"), F.col("words")).alias("f")).where("f > 0")
-    return postings.join(single.select("phrase").unionByName(everything), "phrase", "left_semi").unionByName(counted)
+    asked = phrases.select("words").unionByName(phrases.sparkSession.createDataFrame([([ALL],)], "words array<string>")).distinct()
+    asked = cut(asked.select(F.col("words")[0].alias("word"), F.array_join("words", " ").alias("phrase"), "words"))
+    placed = docs.select("id", "length", "terms", F.posexplode(F.concat("terms", F.array(F.lit(ALL)))).alias("_at", "word"))
+    found = None
+    for block in _in_blocks(asked, "word", PHRASE_BLOCK):
+        part = placed.join(block, "word").where((F.size("words") == 1) | (F.slice("terms", F.col("_at") + 1, F.size("words")) == F.col("words")))
+        part = part.groupBy("id", "length", "phrase").agg(F.count(F.lit(1)).alias("f"))
+        found = part if found is None else found.unionByName(part)
+    return cut(found.groupBy("id", "length").agg(F.map_from_entries(F.collect_list(F.struct("phrase", "f"))).alias("held")))
+
+
+def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(phrase, id, length, f): the documents that hold each of the distinct `phrases` (words), f times. Every
+    document has a row for the phrase `ALL`."""
+    return documents_held(docs, phrases).select("id", "length", F.explode("held").alias("phrase", "f")).select("phrase", "id", "length", "f")
 
 
 def holding_all(hits: DataFrame, asked: DataFrame) -> DataFrame:
@@ -79,26 +83,41 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
     k1 = 1.2, b = 0.75; an idf that isn't above 0 counts as 1e-6, so words of more than half of the
     documents hardly count. `docs` comes from `tokenised`. A document that holds every phrase holds the
-    query's rarest one, so only that one's documents are looked up for the others, by phrase and
-    document; a query with a phrase that no document holds has no row.
+    query's rarest one, so it meets only the queries whose rarest phrase it holds, a block of queries at a
+    time; it is scored where it lies. A query with a phrase that no document holds has no row.
     """
     asked = query_phrases(queries).groupBy("query_id", "phrases", "words").agg(F.count(F.lit(1)).alias("times"))
     asked = asked.withColumn("phrase", F.array_join("words", " "))
-    hits = cut(phrase_hits(docs, asked))
-    known = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"), F.avg("length").alias("mean"))
-    corpus = known.where(F.col("phrase") == ALL).first()  # a row
-    if corpus is None:
+    held = documents_held(docs, asked)
+    corpus = held.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()  # a row
+    if not corpus["n"]:
         return queries.select("query_id", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("bm25")).limit(0)
-    idf = F.log((F.lit(corpus["df"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = held.select(F.explode(F.map_keys("held")).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((F.lit(corpus["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.join(known, "phrase").select("query_id", "phrases", "phrase", "times", "df", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"))
     whole = weighed.groupBy("query_id", "phrases").agg(
-        F.min(F.struct("df", "phrase"))["phrase"].alias("phrase"), F.collect_list(F.struct("phrase", "times", "idf")).alias("all"), F.sum("times").alias("known")
-    ).where("known = phrases")
-    likely = whole.join(hits.select("phrase", "id"), "phrase").select("query_id", "id", F.size("all").alias("n"), F.explode("all").alias("p"))
-    found = likely.select("query_id", "id", "n", "p.*").join(hits, ["phrase", "id"])
-    weight = F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("length") / F.lit(corpus["mean"])))
-    scored = found.groupBy("query_id", "id", "n").agg(F.sum(-F.col("times") * F.col("idf") * weight).alias("bm25"), F.count(F.lit(1)).alias("held"))
-    return scored.where("held = n").select("query_id", "id", "bm25")
+        F.min(F.struct("df", "phrase"))["phrase"].alias("phrase"), F.array_sort(F.collect_list(F.struct("phrase", "times", "idf"))).alias("all"), F.sum("times").alias("known")
+    ).where("known = phrases").select("query_id", "phrase", "all")
+    length = 1.2 * (0.25 + 0.75 * F.col("length") / F.lit(corpus["mean"]))
+    f = lambda p: F.col("held")[p["phrase"]]
+    score = F.aggregate("all", F.lit(0.0), lambda total, p: total - p["times"] * p["idf"] * f(p) * 2.2 / (f(p) + length))
+    exploded = held.select("id", "length", "held", F.explode(F.map_keys("held")).alias("phrase"))
+    found = None
+    for block in _in_blocks(cut(whole), "query_id", TEXT_BLOCK):
+        part = exploded.join(block, "phrase").where(F.forall("all", lambda p: f(p).isNotNull())).select("query_id", "id", score.alias("bm25"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def once_per_text(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts of queries (query_id, query), under the smallest query_id of each, and (asked_as, query_id) of all queries."""
+    first = queries.groupBy("query").agg(F.min("query_id").alias("asked_as"))
+    return first.select(F.col("asked_as").alias("query_id"), "query"), queries.join(first, "query").select("asked_as", "query_id")
+
+
+def for_every_query(ranked: DataFrame, asked_as: DataFrame) -> DataFrame:
+    """Rows of the distinct texts (query_id and others) as rows of all queries that ask them."""
+    return ranked.withColumnRenamed("query_id", "asked_as").join(asked_as, "asked_as").drop("asked_as")
 
 
 def top_per_query(scored: DataFrame, order: list, k: int, within: list[str] | None = None) -> DataFrame:

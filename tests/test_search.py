@@ -1,12 +1,17 @@
 import math
+import os
 import random
 import re
 
 import numpy as np
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from kelpie.operators import retrieval
+from kelpie.plans import catalogue
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 TEXTS = ["the red fox", "the red-hot fox saw the fox", "a red hot day", "the the the", "", None, "fox red", "red hot red hot red"]
 
@@ -96,3 +101,49 @@ def test_cells_index_every_row(spark):
     assert len(exact & near) >= 0.9 * len(exact)
     everything = set(rows(retrieval.nearest_in_cells(df, queries, cells, 10, probes=8), "query_id", "id"))
     assert len(exact & everything) >= 0.99 * len(exact)
+
+
+NEVER_BROADCAST = [
+    "F03_bm25_then_date",
+]
+
+
+@pytest.mark.parametrize("name", NEVER_BROADCAST)
+def test_exploded_documents_are_never_broadcast(spark, monkeypatch, name):
+    plans, cut = [], retrieval.cut
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(retrieval, "cut", lambda df: cut(plan(df)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32m")  # more than Spark takes the documents to be
+    try:
+        plan(catalogue.QUERIES[name](spark, DATA))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    seen = 0
+    for text in plans:
+        depth = 10**6  # of the broadcast above a line, if there is one
+        for line in text.splitlines():
+            at = re.search(r"\w", line).start() if re.search(r"\w", line) else 0
+            depth = at if "BroadcastExchange" in line and at <= depth else depth if at > depth else 10**6
+            if re.search(r"explode\(concat\(terms", line):
+                seen += 1
+                assert at <= depth, text
+    assert seen
+
+
+def test_queries_of_one_text_are_scored_once(spark):
+    queries = spark.createDataFrame([(7, "red fox"), (3, "red fox"), (5, "day"), (9, "nothing holds")], "query_id long, query string")
+    docs = retrieval.tokenised(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"), "doc_id", ["text"])
+    texts, asked_as = retrieval.once_per_text(queries)
+    assert rows(texts, "query_id", "query") == [(3, "red fox"), (5, "day"), (9, "nothing holds")]
+    once = retrieval.bm25(docs, texts)
+    assert rows(retrieval.for_every_query(once, asked_as), "query_id", "id") == rows(retrieval.bm25(docs, queries), "query_id", "id") == sorted([(3, 0), (3, 1), (3, 6), (7, 0), (7, 1), (7, 6), (5, 2)], key=repr)
+
+
+def test_blocks_give_the_same(spark, monkeypatch):
+    docs = retrieval.tokenised(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"), "doc_id", ["text"])
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "query_id long, query string")
+    whole = rows(retrieval.bm25(docs, queries).selectExpr("query_id", "id", "round(bm25, 9) as bm25"))
+    monkeypatch.setattr(retrieval, "PHRASE_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "TEXT_BLOCK", 2)
+    assert rows(retrieval.bm25(docs, queries).selectExpr("query_id", "id", "round(bm25, 9) as bm25")) == whole and len(whole) > 5
