@@ -121,9 +121,10 @@ def _candidates(t, weights, most):
     """Scored candidates of every fiftieth vector and of the title of the document of its id: the 50 best texts,
     and of the other vectors the `most` that score best."""
     asked = _every_fiftieth(t)
-    texts = _asked(t).join(asked.select("query_id"), "query_id", "left_semi")
+    texts, asked_as = retrieval.once_per_text(_asked(t).join(asked.select("query_id"), "query_id", "left_semi"))
     scored = retrieval.bm25(_docs(t), texts).withColumn("bm25", F.round("bm25", 6))
-    lexical = retrieval.normalised(retrieval.top_per_query(scored, [F.col("bm25"), F.col("id")], 50).select("query_id", "id", "bm25"), ["query_id"])
+    top = retrieval.for_every_query(retrieval.top_per_query(scored, [F.col("bm25"), F.col("id")], 50), asked_as)
+    lexical = retrieval.normalised(top.select("query_id", "id", "bm25"), ["query_id"])
     flagged = _flagged(t, _vectors(t))
     both = lexical.join(flagged.select("id", "vector"), "id", "left").join(asked.withColumnRenamed("vector", "_asked"), "query_id")
     with_cos = both.select("query_id", "id", "fts01", F.when(F.col("vector").isNotNull(), cosine(F.col("vector"), F.col("_asked"))).alias("cos"))

@@ -106,6 +106,7 @@ def test_cells_index_every_row(spark):
 NEVER_BROADCAST = [
     "F03_bm25_then_date",
     "I03_bm25",
+    "I06_hybrid",
 ]
 
 
