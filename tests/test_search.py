@@ -107,6 +107,7 @@ NEVER_BROADCAST = [
     "F03_bm25_then_date",
     "I03_bm25",
     "I06_hybrid",
+    "I10_cross_store",
     "I02_phrase_and",
 ]
 
