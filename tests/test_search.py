@@ -109,6 +109,7 @@ NEVER_BROADCAST = [
     "I06_hybrid",
     "I10_cross_store",
     "I02_phrase_and",
+    "I04_topn_per_type",
 ]
 
 
