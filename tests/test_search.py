@@ -110,6 +110,7 @@ NEVER_BROADCAST = [
     "I10_cross_store",
     "I02_phrase_and",
     "I04_topn_per_type",
+    "I09_rerank",
 ]
 
 
