@@ -60,17 +60,21 @@ def _(t):
 
 @query("I03_bm25", f"WITH {_bm25_sql('documents', 'doc_id', 'title', 'text')} SELECT query_id, rank, id, round(bm25, 6) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), id) AS rank FROM s) WHERE rank <= 10")
 def _(t):
-    scored = retrieval.bm25(_docs(t), _asked(t)).withColumn("bm25", F.round("bm25", 6))
-    return retrieval.top_per_query(scored, [F.col("bm25"), F.col("id")], 10).select("query_id", "rank", "id", "bm25")
+    texts, asked_as = retrieval.once_per_text(_asked(t))
+    scored = retrieval.bm25(_docs(t), texts).withColumn("bm25", F.round("bm25", 6))
+    top = retrieval.top_per_query(scored, [F.col("bm25"), F.col("id")], 10)
+    return retrieval.for_every_query(top, asked_as).select("query_id", "rank", "id", "bm25")
 
 
 @query("I04_topn_per_type", f"""
 WITH {_bm25_sql('documents', 'doc_id', 'title', 'text')} SELECT query_id, source, id FROM (
   SELECT s.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY round(bm25, 6), id) AS rank FROM s JOIN documents ON doc_id = id) WHERE rank <= 5""")
 def _(t):
-    scored = retrieval.bm25(_docs(t), _asked(t)).withColumn("bm25", F.round("bm25", 6))
+    texts, asked_as = retrieval.once_per_text(_asked(t))
+    scored = retrieval.bm25(_docs(t), texts).withColumn("bm25", F.round("bm25", 6))
     typed = scored.join(t.documents.select(F.col("doc_id").alias("id"), "source"), "id")
-    return retrieval.top_per_query(typed, [F.col("bm25"), F.col("id")], 5, within=["source"]).select("query_id", "source", "id")
+    top = retrieval.top_per_query(typed, [F.col("bm25"), F.col("id")], 5, within=["source"])
+    return retrieval.for_every_query(top, asked_as).select("query_id", "source", "id")
 
 
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
@@ -182,9 +186,12 @@ def _(t):
 
 @query("I09_rerank")
 def _(t):
-    top = retrieval.top_per_query(retrieval.bm25(_docs(t), _asked(t)), [F.col("bm25"), F.col("id")], 20)
-    texts = top.join(t.documents.select(F.col("doc_id").alias("id"), "title", F.col("text").alias("body")), "id").join(_asked(t), "query_id")
-    return rerank.reranked(texts, rerank.LexicalOverlap(), floor=0.0).select("query_id", "id", F.round("rerank", 6).alias("rerank"))
+    asked, asked_as = retrieval.once_per_text(_asked(t))
+    top = retrieval.top_per_query(retrieval.bm25(_docs(t), asked), [F.col("bm25"), F.col("id")], 20)
+    texts = top.join(t.documents.select(F.col("doc_id").alias("id"), "title", F.col("text").alias("body")), "id").join(asked, "query_id")
+    scored = rerank.reranked(texts, rerank.LexicalOverlap(), floor=0.0)
+    best = retrieval.for_every_query(scored, asked_as).orderBy("query_id", F.desc_nulls_last("rerank"), "id")
+    return best.select("query_id", "id", F.round("rerank", 6).alias("rerank"))
 
 
 @query("I10_cross_store", f"""
@@ -276,8 +283,10 @@ def _(t):
 WITH {_bm25_sql('documents', 'doc_id', 'title', 'text')} SELECT query_id, rank, id FROM (
   SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), ingested_at DESC NULLS LAST, id) AS rank FROM s JOIN documents ON doc_id = id) WHERE rank <= 20""")
 def _(t):
-    dated = retrieval.bm25(_docs(t), _asked(t)).join(t.documents.select(F.col("doc_id").alias("id"), "ingested_at"), "id")
-    return retrieval.top_per_query(dated, [F.round("bm25", 6), F.desc_nulls_last("ingested_at"), F.col("id")], 20).select("query_id", "rank", "id")
+    texts, asked_as = retrieval.once_per_text(_asked(t))
+    dated = retrieval.bm25(_docs(t), texts).join(t.documents.select(F.col("doc_id").alias("id"), "ingested_at"), "id")
+    top = retrieval.top_per_query(dated, [F.round("bm25", 6), F.desc_nulls_last("ingested_at"), F.col("id")], 20)
+    return retrieval.for_every_query(top, asked_as).select("query_id", "rank", "id")
 
 
 @query("N01_eval", f"""
@@ -294,8 +303,9 @@ def _(t):
     none = F.col("query_id") % 100 == 50
     asked = _asked(t).select("query_id", F.when(none, F.concat("query", F.lit(" zzqxv"))).otherwise(F.col("query")).alias("query"))
     golden = _asked(t).select("query_id", F.when(none, "empty").otherwise("match").alias("kind"), F.array("query").alias("needles"))
-    scored = retrieval.bm25(_docs(t), asked).withColumn("bm25", F.round("bm25", 6))
-    top = retrieval.top_per_query(scored, [F.col("bm25"), F.col("id")], 3)
+    texts, asked_as = retrieval.once_per_text(asked)
+    scored = retrieval.bm25(_docs(t), texts).withColumn("bm25", F.round("bm25", 6))
+    top = retrieval.for_every_query(retrieval.top_per_query(scored, [F.col("bm25"), F.col("id")], 3), asked_as)
     ranked = top.join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
     return evaluate(ranked, golden, "text", (1, 3))
 

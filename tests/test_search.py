@@ -111,6 +111,7 @@ NEVER_BROADCAST = [
     "I02_phrase_and",
     "I04_topn_per_type",
     "I09_rerank",
+    "N01_eval",
 ]
 
 
