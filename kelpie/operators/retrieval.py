@@ -15,10 +15,10 @@ from kelpie.functions.scalars import age_decay, clamp01, cosine, min_max, tokens
 from kelpie.session import cut
 
 
-def tokenised(df: DataFrame, id_column: str, texts: list[str]) -> DataFrame:
-    """(id, terms, length): the tokens of all text columns in a row, and how many there are."""
+def tokenised(df: DataFrame, id_column: str, texts: list[str], besides: tuple[str, ...] = ()) -> DataFrame:
+    """(id, terms, length), and columns kept besides: the tokens of all text columns in a row, and how many there are."""
     terms = F.concat(*[tokens(F.col(t)) for t in texts])
-    return df.select(F.col(id_column).alias("id"), terms.alias("terms")).withColumn("length", F.size("terms").cast("long"))
+    return df.select(F.col(id_column).alias("id"), terms.alias("terms"), *besides).withColumn("length", F.size("terms").cast("long"))
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
@@ -46,29 +46,72 @@ def _in_blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:
     return [F.broadcast(df.where(number == n) if blocks > 1 else df) for n in range(blocks)]
 
 
-def documents_held(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(id, length, held): every document with a map of the asked `phrases` (words) that it holds and how often,
-    materialised. A phrase is its words with blanks between; every document holds `ALL` once.
+def _numbered(asked: DataFrame) -> DataFrame:
+    """`asked`, materialised, with `number`, an int from 0 on without gaps."""
+    placed = cut(asked.withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33)
+    before, offsets = 0, [F.lit(-1), F.lit(0)]  # no part is -1
+    for r in sorted(placed.groupBy(part.alias("part")).count().collect()):  # a row per partition
+        offsets += [F.lit(r["part"]), F.lit(before)]
+        before += r["count"]
+    row = F.col("_row") - F.shiftleft(part, 33)
+    return placed.withColumn("number", (row + F.create_map(*offsets)[part.cast("int")]).cast("int")).drop("_row")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (a document's columns, then `number`) of each document that follow one another as a row, with the
+    numbers and how often each."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        own = pc.fill_null(batch.column("id"), 0).to_numpy()
+        first = np.flatnonzero(np.diff(own, prepend=~own[:1]))
+        number = batch.column("number").to_numpy().astype(np.int64)
+        run = np.repeat(np.arange(len(first)), np.diff(first, append=len(own)))
+        key, n = np.unique(run << 32 | number, return_counts=True)
+        offsets = pa.array(np.searchsorted(key >> 32, np.arange(len(first) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (key & 0xFFFFFFFF, n)]
+        documents = [batch.column(i).take(pa.array(first)) for i in range(batch.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*documents, *lists], names=[*batch.schema.names[:-1], "numbers", "counts"])
+
+
+def documents_held(docs: DataFrame, phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, length, held) and the other columns of `docs`, materialised: every document with a map of the numbers of the
+    asked `phrases` (words) that it holds and how often; and (phrase, number) of these, their words with blanks between.
+    Every document holds `ALL` once.
 
     Documents are never joined by word and never broadcast, for Spark takes them to be no more when they
     are exploded. The phrases are sent to them instead, a block at a time, and found where their first word
-    stands; tokens that begin none are dropped in the scan, the others counted by document before they are moved.
+    stands; tokens that begin none are dropped in the scan. A document's phrases are put in one row where it lies,
+    as numbers, so that a row per document is all that is moved and kept.
     """
     asked = phrases.select("words").unionByName(phrases.sparkSession.createDataFrame([([ALL],)], "words array<string>")).distinct()
-    asked = cut(asked.select(F.col("words")[0].alias("word"), F.array_join("words", " ").alias("phrase"), "words"))
-    placed = docs.select("id", "length", "terms", F.posexplode(F.concat("terms", F.array(F.lit(ALL)))).alias("_at", "word"))
+    asked = _numbered(asked.select(F.col("words")[0].alias("word"), F.array_join("words", " ").alias("phrase"), "words"))
+    own = [c for c in docs.columns if c != "terms"]
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*own).schema)
+    placed = docs.select(*own, "terms", F.posexplode(F.concat("terms", F.array(F.lit(ALL)))).alias("_at", "word"))
     found = None
-    for block in _in_blocks(asked, "word", PHRASE_BLOCK):
+    for block in _in_blocks(asked.select("word", "words", "number"), "word", PHRASE_BLOCK):
         part = placed.join(block, "word").where((F.size("words") == 1) | (F.slice("terms", F.col("_at") + 1, F.size("words")) == F.col("words")))
-        part = part.groupBy("id", "length", "phrase").agg(F.count(F.lit(1)).alias("f"))
+        part = part.select(*own, "number").mapInArrow(_gathered, f"{fields}numbers array<int>, counts array<int>")
         found = part if found is None else found.unionByName(part)
-    return cut(found.groupBy("id", "length").agg(F.map_from_entries(F.collect_list(F.struct("phrase", "f"))).alias("held")))
+    parts = found.groupBy(*own).agg(F.collect_list(F.struct("numbers", "counts")).alias("_parts"))  # more than one where batches or blocks meet
+    flat = parts.select(*own, *[F.flatten(F.col("_parts")[c]).alias(c) for c in ("numbers", "counts")])
+    summed = lambda k: F.aggregate(F.arrays_zip("numbers", "counts"), F.lit(0), lambda n, e: n + F.when(e["numbers"] == k, e["counts"]).otherwise(0))
+    keys = F.array_distinct("numbers")
+    counts = F.when(F.size(keys) == F.size("numbers"), F.col("counts")).otherwise(F.transform(keys, summed))
+    return cut(flat.select(*own, F.map_from_arrays(keys, counts).alias("held"))), asked.select("phrase", "number")
 
 
 def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase, id, length, f): the documents that hold each of the distinct `phrases` (words), f times. Every
     document has a row for the phrase `ALL`."""
-    return documents_held(docs, phrases).select("id", "length", F.explode("held").alias("phrase", "f")).select("phrase", "id", "length", "f")
+    held, numbered = documents_held(docs, phrases)
+    hits, found = held.select("id", "length", F.explode("held").alias("number", "f")), None
+    for block in _in_blocks(numbered, "number", PHRASE_BLOCK):
+        part = hits.join(block, "number").select("phrase", "id", "length", F.col("f").cast("long").alias("f"))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def holding_all(hits: DataFrame, asked: DataFrame) -> DataFrame:
@@ -79,7 +122,7 @@ def holding_all(hits: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, bm25) of the documents that hold every phrase; smaller is better.
+    """(query_id, id, bm25), and the columns that `docs` has besides, of the documents that hold every phrase; smaller is better.
 
     k1 = 1.2, b = 0.75; an idf that isn't above 0 counts as 1e-6, so words of more than half of the
     documents hardly count. `docs` comes from `tokenised`. A document that holds every phrase holds the
@@ -88,23 +131,24 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """
     asked = query_phrases(queries).groupBy("query_id", "phrases", "words").agg(F.count(F.lit(1)).alias("times"))
     asked = asked.withColumn("phrase", F.array_join("words", " "))
-    held = documents_held(docs, asked)
+    held, numbered = documents_held(docs, asked)
+    besides = [c for c in docs.columns if c not in ("id", "terms", "length")]
     corpus = held.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()  # a row
     if not corpus["n"]:
-        return queries.select("query_id", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("bm25")).limit(0)
-    known = held.select(F.explode(F.map_keys("held")).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+        return held.select(F.lit(0).cast("long").alias("query_id"), "id", *besides, F.lit(0.0).alias("bm25"))  # no row
+    known = held.select(F.explode(F.map_keys("held")).alias("number")).groupBy("number").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(corpus["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(known, "phrase").select("query_id", "phrases", "phrase", "times", "df", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"))
+    weighed = asked.join(numbered, "phrase").join(known, "number").select("query_id", "phrases", "phrase", "number", "times", "df", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"))
     whole = weighed.groupBy("query_id", "phrases").agg(
-        F.min(F.struct("df", "phrase"))["phrase"].alias("phrase"), F.array_sort(F.collect_list(F.struct("phrase", "times", "idf"))).alias("all"), F.sum("times").alias("known")
-    ).where("known = phrases").select("query_id", "phrase", "all")
+        F.min(F.struct("df", "phrase", "number"))["number"].alias("number"), F.array_sort(F.collect_list(F.struct("phrase", "number", "times", "idf"))).alias("all"), F.sum("times").alias("known")
+    ).where("known = phrases").select("query_id", "number", F.transform("all", lambda p: F.struct(p["number"].alias("number"), p["times"].alias("times"), p["idf"].alias("idf"))).alias("all"))
     length = 1.2 * (0.25 + 0.75 * F.col("length") / F.lit(corpus["mean"]))
-    f = lambda p: F.col("held")[p["phrase"]]
+    f = lambda p: F.col("held")[p["number"]]
     score = F.aggregate("all", F.lit(0.0), lambda total, p: total - p["times"] * p["idf"] * f(p) * 2.2 / (f(p) + length))
-    exploded = held.select("id", "length", "held", F.explode(F.map_keys("held")).alias("phrase"))
+    exploded = held.select("id", "length", *besides, "held", F.explode(F.map_keys("held")).alias("number"))
     found = None
     for block in _in_blocks(cut(whole), "query_id", TEXT_BLOCK):
-        part = exploded.join(block, "phrase").where(F.forall("all", lambda p: f(p).isNotNull())).select("query_id", "id", score.alias("bm25"))
+        part = exploded.join(block, "number").where(F.forall("all", lambda p: f(p).isNotNull())).select("query_id", "id", *besides, score.alias("bm25"))
         found = part if found is None else found.unionByName(part)
     return found
 

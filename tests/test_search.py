@@ -154,3 +154,21 @@ def test_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "PHRASE_BLOCK", 2)
     monkeypatch.setattr(retrieval, "TEXT_BLOCK", 2)
     assert rows(retrieval.bm25(docs, queries).selectExpr("query_id", "id", "round(bm25, 9) as bm25")) == whole and len(whole) > 5
+
+
+def test_documents_are_moved_as_a_row_each(spark, monkeypatch):
+    plans, cut = [], retrieval.cut
+    monkeypatch.setattr(retrieval, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    docs = retrieval.tokenised(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"), "doc_id", ["text"])
+    phrases = retrieval.query_phrases(spark.createDataFrame([(1, "red red-hot the fox missing")], "query_id long, query string"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # so that documents lie in several batches
+    try:
+        got = {(r["phrase"], r["id"]): r["f"] for r in retrieval.phrase_hits(docs, phrases).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    count = lambda d, p: sum(d[i : i + len(p)] == p for i in range(len(d)))
+    want = {(p, i): n for p in ("red", "red hot", "the", "fox", "missing") for i, t in enumerate(TEXTS) if (n := count(words(t), p.split()))}
+    assert got == want | {("", i): 1 for i in range(len(TEXTS))}
+    moved = [line for text in plans if "explode(concat(terms" in text for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not [line for line in moved if "phrase" in line or "word" in line]
