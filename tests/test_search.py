@@ -172,3 +172,17 @@ def test_documents_are_moved_as_a_row_each(spark, monkeypatch):
     assert got == want | {("", i): 1 for i in range(len(TEXTS))}
     moved = [line for text in plans if "explode(concat(terms" in text for line in text.splitlines() if "Exchange hashpartitioning" in line]
     assert moved and not [line for line in moved if "phrase" in line or "word" in line]
+
+
+MOVED_AS_ROWS = [
+    "I02_phrase_and",
+]
+
+
+@pytest.mark.parametrize("name", MOVED_AS_ROWS)
+def test_queries_move_documents_as_a_row_each(spark, monkeypatch, name):
+    plans, cut = [], retrieval.cut
+    monkeypatch.setattr(retrieval, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    catalogue.QUERIES[name](spark, DATA)
+    moved = [line for text in plans if "explode(concat(terms" in text for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not [line for line in moved if "phrase" in line or "word" in line]
