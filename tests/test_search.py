@@ -176,6 +176,7 @@ def test_documents_are_moved_as_a_row_each(spark, monkeypatch):
 
 MOVED_AS_ROWS = [
     "I02_phrase_and",
+    "I10_cross_store",
 ]
 
 
