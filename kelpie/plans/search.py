@@ -39,8 +39,8 @@ def _asked(t):
     return t.documents.where("doc_id % 50 = 0 and title is not null").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
 
 
-def _docs(t):
-    return retrieval.tokenised(t.documents, "doc_id", ["title", "text"])
+def _docs(t, *besides):
+    return retrieval.tokenised(t.documents, "doc_id", ["title", "text"], besides)
 
 
 @query("I01_tokens", f"SELECT token, COUNT(*) AS n FROM (SELECT unnest({_TS.format(c='text')}) AS token FROM documents) GROUP BY token")
@@ -71,9 +71,8 @@ WITH {_bm25_sql('documents', 'doc_id', 'title', 'text')} SELECT query_id, source
   SELECT s.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY round(bm25, 6), id) AS rank FROM s JOIN documents ON doc_id = id) WHERE rank <= 5""")
 def _(t):
     texts, asked_as = retrieval.once_per_text(_asked(t))
-    scored = retrieval.bm25(_docs(t), texts).withColumn("bm25", F.round("bm25", 6))
-    typed = scored.join(t.documents.select(F.col("doc_id").alias("id"), "source"), "id")
-    top = retrieval.top_per_query(typed, [F.col("bm25"), F.col("id")], 5, within=["source"])
+    scored = retrieval.bm25(_docs(t, "source"), texts).withColumn("bm25", F.round("bm25", 6))
+    top = retrieval.top_per_query(scored, [F.col("bm25"), F.col("id")], 5, within=["source"])
     return retrieval.for_every_query(top, asked_as).select("query_id", "source", "id")
 
 

@@ -177,6 +177,7 @@ def test_documents_are_moved_as_a_row_each(spark, monkeypatch):
 MOVED_AS_ROWS = [
     "I02_phrase_and",
     "I10_cross_store",
+    "I04_topn_per_type",
 ]
 
 
@@ -187,3 +188,11 @@ def test_queries_move_documents_as_a_row_each(spark, monkeypatch, name):
     catalogue.QUERIES[name](spark, DATA)
     moved = [line for text in plans if "explode(concat(terms" in text for line in text.splitlines() if "Exchange hashpartitioning" in line]
     assert moved and not [line for line in moved if "phrase" in line or "word" in line]
+
+
+def test_scores_keep_what_is_beside(spark):
+    docs = spark.createDataFrame([(i, t, f"s{i % 2}" if i else None) for i, t in enumerate(TEXTS)], "doc_id long, text string, source string")
+    queries = spark.createDataFrame([(1, "red fox"), (2, "the")], "query_id long, query string")
+    found = retrieval.bm25(retrieval.tokenised(docs, "doc_id", ["text"], ("source",)), queries)
+    assert rows(found, "query_id", "id", "source") == sorted([(1, 0, None), (1, 1, "s1"), (1, 6, "s0"), (2, 0, None), (2, 1, "s1"), (2, 3, "s1")], key=repr)
+    assert retrieval.bm25(retrieval.tokenised(docs.limit(0), "doc_id", ["text"], ("source",)), queries).columns == ["query_id", "id", "source", "bm25"]
