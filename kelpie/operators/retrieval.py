@@ -15,6 +15,16 @@ from kelpie.functions.scalars import age_decay, clamp01, cosine, min_max, tokens
 from kelpie.session import cut
 
 
+def of_ids(df: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of `df` (id and others) whose id `chosen` has. The ids are sent to them a block at a time; `df`, whose
+    texts Spark takes to be a few bytes each, is neither broadcast nor moved."""
+    found = None
+    for block in _in_blocks(cut(chosen.select("id").distinct()), "id", ID_BLOCK):
+        part = df.join(block, "id")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def tokenised(df: DataFrame, id_column: str, texts: list[str], besides: tuple[str, ...] = ()) -> DataFrame:
     """(id, terms, length), and columns kept besides: the tokens of all text columns in a row, and how many there are."""
     terms = F.concat(*[tokens(F.col(t)) for t in texts])
@@ -37,6 +47,7 @@ def query_phrases(queries: DataFrame) -> DataFrame:
 ALL = ""  # stands for a word that every document has once; no token is empty
 PHRASE_BLOCK = 1 << 16  # phrases that are sent to the executors at once
 TEXT_BLOCK = 4096  # texts of queries, likewise
+ID_BLOCK = 1 << 16  # ids of rows that are looked up, likewise
 
 
 def _in_blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:

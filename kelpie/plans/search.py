@@ -186,8 +186,9 @@ def _(t):
 @query("I09_rerank")
 def _(t):
     asked, asked_as = retrieval.once_per_text(_asked(t))
-    top = retrieval.top_per_query(retrieval.bm25(_docs(t), asked), [F.col("bm25"), F.col("id")], 20)
-    texts = top.join(t.documents.select(F.col("doc_id").alias("id"), "title", F.col("text").alias("body")), "id").join(asked, "query_id")
+    top = retrieval.cut(retrieval.top_per_query(retrieval.bm25(_docs(t), asked), [F.col("bm25"), F.col("id")], 20))
+    documents = t.documents.select(F.col("doc_id").alias("id"), "title", F.col("text").alias("body"))
+    texts = top.join(retrieval.of_ids(documents, top), "id").join(asked, "query_id")
     scored = rerank.reranked(texts, rerank.LexicalOverlap(), floor=0.0)
     best = retrieval.for_every_query(scored, asked_as).orderBy("query_id", F.desc_nulls_last("rerank"), "id")
     return best.select("query_id", "id", F.round("rerank", 6).alias("rerank"))

@@ -178,6 +178,7 @@ MOVED_AS_ROWS = [
     "I02_phrase_and",
     "I10_cross_store",
     "I04_topn_per_type",
+    "I09_rerank",
 ]
 
 
@@ -196,3 +197,25 @@ def test_scores_keep_what_is_beside(spark):
     found = retrieval.bm25(retrieval.tokenised(docs, "doc_id", ["text"], ("source",)), queries)
     assert rows(found, "query_id", "id", "source") == sorted([(1, 0, None), (1, 1, "s1"), (1, 6, "s0"), (2, 0, None), (2, 1, "s1"), (2, 3, "s1")], key=repr)
     assert retrieval.bm25(retrieval.tokenised(docs.limit(0), "doc_id", ["text"], ("source",)), queries).columns == ["query_id", "id", "source", "bm25"]
+
+
+def test_texts_to_rerank_are_never_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32m")  # more than Spark takes the texts to be
+    try:
+        lines = catalogue.QUERIES["I09_rerank"](spark, DATA)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    at = [re.search(r"\w", line).start() if re.search(r"\w", line) else 0 for line in lines]
+    seen = 0
+    for i, line in enumerate(lines):
+        if "Scan parquet" in line and re.search(r"\[.*text#", line):
+            seen, depth = seen + 1, at[i]
+            for j in range(i, -1, -1):  # the nodes above it, each less indented than those below
+                if at[j] < depth:
+                    depth = at[j]
+                    assert "BroadcastExchange" not in lines[j], "\n".join(lines)
+    assert seen
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id long, text string")
+    chosen = spark.createDataFrame([(3,), (5,), (3,), (77,)], "id long")
+    assert rows(retrieval.of_ids(docs, chosen)) == [(3, TEXTS[3]), (5, None)] and retrieval.of_ids(docs, chosen.limit(0)).count() == 0
