@@ -12,9 +12,10 @@ leaves whose documents hold it most.
 The first splits separate languages and styles. Terms that are common within one of these branches say
 nothing of subjects there and have no weight in its vectors, whatever the number of documents.
 
-Splits are seeded on a sample of at most `SEEDS` documents, those with the smallest hash; every centre
-is then computed over all documents, as are all counts. Terms are hashed to a fixed number of buckets,
-so leaves x dimensions and buckets x leaves are all that reaches the driver or is sent to the executors.
+Every split, centre and count is taken over all documents. A node of more than `LOCAL` documents is split
+by passes over them, one for all such nodes; the documents of a smaller one are brought together and
+split further by one task. Terms are hashed to a fixed number of buckets, so leaves x dimensions and
+buckets x leaves are all that reaches the driver or is sent to the executors.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from kelpie.session import cut
 WORDS = 1 << 16  # buckets of words; as many again hold pairs of adjacent words
 BUCKETS = 2 * WORDS
 DIMENSIONS = 1 << 13  # of document vectors
-SEEDS = 8192  # documents on which splits are seeded
+LOCAL = 1 << 15  # documents of a node that one task splits further
 BRANCHES = 8  # first splits, within which terms are found common
 COMMON = 0.3  # of a branch's documents; terms above it have no weight there
 LEAVES = 192
@@ -203,6 +204,7 @@ class Tree:
     roots: int
     child: list[int] = field(default_factory=list)
     centres: np.ndarray | None = None  # (nodes, DIMENSIONS), of length 1
+    scatter: list[float] = field(default_factory=list)  # of each node's vectors about their centre
 
     def leaves(self) -> np.ndarray:
         return np.flatnonzero(np.array(self.child) == 0)
@@ -261,9 +263,9 @@ def _split(owner: np.ndarray, dims: np.ndarray, values: np.ndarray, n: int, rand
     return side
 
 
-def seed_tree(dims: np.ndarray, lengths: np.ndarray, weights: np.ndarray, branch: np.ndarray | None, roots: int, leaves: int, seed: int) -> Tree:
-    """A tree over a sample: the leaf whose vectors scatter most about its centre is bisected next,
-    until there are so many leaves or none whose vectors differ."""
+def seed_tree(dims: np.ndarray, lengths: np.ndarray, weights: np.ndarray, branch: np.ndarray | None, roots: int, leaves: int, seed: int, least: float = 0.0) -> Tree:
+    """A tree over vectors at hand: the leaf whose vectors scatter most about its centre is bisected next,
+    until there are so many leaves or none whose vectors differ, or scatter by `least`."""
     random = np.random.default_rng(seed)
     owner, dims, values = _vectors(dims, lengths, weights, branch)
     held = np.unique(owner)
@@ -283,12 +285,13 @@ def seed_tree(dims: np.ndarray, lengths: np.ndarray, weights: np.ndarray, branch
         sums[node] = np.bincount(d, weights=v, minlength=DIMENSIONS)
         members[node] = docs
         scatter = len(docs) - np.linalg.norm(sums[node])
+        tree.scatter.append(float(scatter))
         if len(docs) > 1 and scatter > 1e-6 * len(docs):
             heapq.heappush(heap, (-scatter, node))
 
     for r in range(roots):
         add(r, held if branch is None else held[branch[held] == r])
-    while heap and len(tree.leaves()) < leaves:
+    while heap and len(tree.leaves()) < leaves and -heap[0][0] >= least:
         _, node = heapq.heappop(heap)
         docs = members[node]
         side = _split(*entries(docs), len(docs), random)
@@ -374,12 +377,184 @@ class Clusters:
         return out
 
 
+def _pack(node: np.ndarray, kind: np.ndarray, dims: np.ndarray, lengths: np.ndarray, norms: np.ndarray) -> pa.RecordBatch:
+    """A row for each node that documents are in: node, kind of weights, and their dimensions in a row, with the lengths
+    that their vectors have before they are normalised. Documents without dimensions are left out."""
+    out: list[tuple] = []
+    owner = np.repeat(node, lengths)
+    for n in np.unique(node[lengths > 0]):
+        of = (node == n) & (lengths > 0)
+        out.append((int(n), int(kind[of][0]), lengths[of].astype(np.int32).tobytes(), norms[of].tobytes(), dims[owner == n].astype(np.uint16).tobytes()))
+    columns = list(zip(*out)) if out else [()] * 5
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "kind", "lengths", "norms", "dims"])
+
+
+_PACKED = "node int, kind int, lengths binary, norms binary, dims binary"
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(node, kind, lengths, first entry of each document, dims, norms) of each packed row. A vector's entries are the
+    weights of its dimensions divided by its norm, so the weights are applied to directions and sums, not to entries."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            lengths, dims = np.frombuffer(row["lengths"], np.int32), np.frombuffer(row["dims"], np.uint16).astype(np.intp)
+            yield row["node"], row["kind"], lengths, np.cumsum(lengths) - lengths, dims, np.frombuffer(row["norms"], np.float64)
+
+
+def _sweep(packed: DataFrame, weights: np.ndarray, along: dict[int, tuple[np.ndarray, float]] | None, sides: bool) -> dict[int, tuple[np.ndarray, float, float]]:
+    """{node: (sum of the vectors times their factors, sum of the factors, documents)} of the nodes in `along`, or of all.
+
+    The factor is how far a vector lies along the node's direction, or for `sides` whether that is more than the
+    node's threshold; 1 without directions. A task gives an array for each node, whatever the number of documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        kinds: dict[int, int] = {}  # of weights, one for each node
+        for node, kind, lengths, first, dims, norms in _unpacked(batches):
+            if along is not None and node not in along:
+                continue
+            factor = np.ones(len(lengths))
+            if along is not None:
+                direction, threshold = along[node]
+                factor = np.add.reduceat((direction * weights[kind])[dims], first) / norms
+                factor = (factor > threshold).astype(float) if sides else factor
+            own = total.setdefault(node, np.zeros(DIMENSIONS + 2))
+            own[:DIMENSIONS] += np.bincount(dims, weights=np.repeat(factor / norms, lengths), minlength=DIMENSIONS)
+            own[DIMENSIONS:] += factor.sum(), len(lengths)
+            kinds[node] = kind
+        for node, own in total.items():
+            own[:DIMENSIONS] *= weights[kinds[node]]
+        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["node", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        whole = sum(sorted((np.frombuffer(x, np.float64) for x in table["sums"].to_pylist()), key=lambda x: x.tobytes()))  # in one order
+        return pa.table({"node": table["node"][:1].cast(pa.int32()), "sums": pa.array([whole.tobytes()], pa.binary())})
+
+    found = packed.mapInArrow(run, "node int, sums binary").groupBy("node").applyInArrow(add, "node int, sums binary").toArrow()
+    arrays = {n: np.frombuffer(x, np.float64) for n, x in zip(found["node"].to_pylist(), found["sums"].to_pylist())}
+    return {n: (x[:DIMENSIONS], x[DIMENSIONS], x[DIMENSIONS + 1]) for n, x in arrays.items()}
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / max(np.linalg.norm(v), 1e-12)
+
+
+def _halves(packed: DataFrame, weights: np.ndarray, whole: dict[int, tuple[np.ndarray, float]], random: np.random.Generator) -> dict[int, tuple[np.ndarray, float, np.ndarray, float]]:
+    """`_split` of several nodes {node: (sum, documents)} at once, by passes over all their documents: {node: (direction,
+    threshold, sum of the right half, its documents)}; nodes that can't be divided are missing."""
+    along = {n: (random.standard_normal(DIMENSIONS), 0.0) for n in whole}
+    for _ in range(4):
+        for n, (onto, factors, size) in _sweep(packed, weights, along, False).items():
+            direction = _unit(onto - whole[n][0] / size * factors)
+            along[n] = direction, float(direction @ whole[n][0] / size)
+    out: dict[int, tuple[np.ndarray, float, np.ndarray, float]] = {}
+    for step in range(11):
+        for n, (right, held, size) in _sweep(packed, weights, along, True).items():
+            same = n in out and out[n][3] == held and np.allclose(out[n][2], right)
+            out[n] = (*along[n], right, held)
+            if same or not 0 < held < size:
+                del along[n]
+            elif step < 10:
+                along[n] = _unit(right) - _unit(whole[n][0] - right), 0.0
+        if not along:
+            break
+    return {n: x for n, x in out.items() if 0 < x[3] < whole[n][1]}
+
+
+def grow(docs: DataFrame, place: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]], weights: np.ndarray, roots: int, leaves: int, seed: int) -> Tree:
+    """The tree of `seed_tree` over all of `docs`, of which `place` gives (root, dimensions, lengths); `weights` are by root.
+
+    A child scatters no more than its parent, so the splits of the nodes that scatter most are the same
+    whatever order they are made in: all that may be among them are made, and the best kept.
+    """
+    random, wanted = np.random.default_rng(seed), leaves - roots
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            root, dims, lengths = place(batch)
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            values = weights[root[owner], dims]
+            held, norms = values > 0, np.sqrt(np.bincount(owner, weights=values * values, minlength=len(lengths)))
+            yield _pack(root, root, dims[held], np.bincount(owner[held], minlength=len(lengths)), norms)
+
+    packed = cut(docs.select("words").mapInArrow(pack, _PACKED))
+    nodes = [(np.zeros(DIMENSIONS), 0.0)] * roots  # sum and documents of each
+    for n, (own, _, size) in _sweep(packed, weights, None, False).items():
+        nodes[n] = own, size
+    child, done = [0] * roots, set[int]()
+    scatter = lambda n: nodes[n][1] - np.linalg.norm(nodes[n][0])
+
+    def best() -> list[int]:
+        return sorted((n for n in range(len(nodes)) if child[n] or n not in done), key=lambda n: (-scatter(n), n))[: max(0, wanted)]
+
+    opened = lambda n: not child[n] and n not in done and nodes[n][1] > 1 and scatter(n) > 1e-6 * nodes[n][1]
+    while large := [n for n in best() if opened(n) and nodes[n][1] > LOCAL]:
+        halves = _halves(packed, weights, {n: nodes[n] for n in large}, random)
+        done |= {*large} - {*halves}
+        turn: dict[int, tuple[int, np.ndarray, float]] = {}
+        for n, (direction, threshold, right, held) in sorted(halves.items()):
+            child[n] = len(nodes)
+            turn[n] = child[n], direction, threshold
+            nodes += [(nodes[n][0] - right, nodes[n][1] - held), (right, held)]
+            child += [0, 0]
+
+        def divide(batches: Iterator[pa.RecordBatch], turn: dict = turn) -> Iterator[pa.RecordBatch]:
+            for node, kind, lengths, first, dims, norms in _unpacked(batches):
+                to = np.full(len(lengths), node)
+                if node in turn:
+                    left, direction, threshold = turn[node]
+                    to = left + (np.add.reduceat((direction * weights[kind])[dims], first) / norms > threshold)
+                yield _pack(to, np.full(len(lengths), kind), dims, lengths, norms)
+
+        packed = cut(packed.mapInArrow(divide, _PACKED))
+    known = [scatter(n) for n in best()]
+    least = known[-1] if len(known) == wanted and known else 0.0
+    small = [n for n in best() if opened(n)]
+
+    def below(table: pa.Table) -> pa.Table:
+        rows = sorted(table.select(["kind", "lengths", "dims"]).to_pylist(), key=lambda r: (r["dims"], r["lengths"]))  # in one order
+        lengths, dims = (np.concatenate([np.frombuffer(r[c], k) for r in rows]) for c, k in (("lengths", np.int32), ("dims", np.uint16)))
+        node = table["node"][0].as_py()
+        tree = seed_tree(dims, lengths, weights[rows[0]["kind"]], None, 1, wanted + 1, seed, least)
+        count = len(tree.child)
+        centres = pa.array([c.astype(np.float32).tobytes() for c in tree.centres], pa.binary())
+        return pa.table({"node": pa.array([node] * count, pa.int32()), "at": pa.array(range(count), pa.int32()), "child": pa.array(tree.child, pa.int32()), "scatter": pa.array(tree.scatter), "centre": centres})
+
+    # (node of `nodes`, number below it) stands for a node from here on
+    splits = {(n, 0): (scatter(n), (child[n], 0), (child[n] + 1, 0)) for n in range(len(nodes)) if child[n]}
+    grown = None
+    if small:
+        grown = cut(packed.where(F.col("node").isin(small)).groupBy("node").applyInArrow(below, "node int, at int, child int, scatter double, centre binary"))
+        for r in grown.where("child > 0").select("node", "at", "child", "scatter").toArrow().to_pylist():
+            splits[r["node"], r["at"]] = r["scatter"], (r["node"], r["child"]), (r["node"], r["child"] + 1)
+    kept = {*sorted(splits, key=lambda k: (-splits[k][0], k))[: max(0, wanted)]}
+    tree, order = Tree(roots, [0] * roots), [(n, 0) for n in range(roots)]
+    for k, key in enumerate(order):  # which grows
+        if key in kept:
+            tree.child[k] = len(order)
+            order += splits[key][1:]
+            tree.child += [0, 0]
+    tree.centres = np.stack([_unit(nodes[n][0]) if at == 0 else np.zeros(DIMENSIONS) for n, at in order]).astype(np.float32)
+    if below_ := [key for key in order if key[1]]:
+        number = {key: k for k, key in enumerate(order)}
+        chosen = grown.sparkSession.createDataFrame(below_, "node int, at int")  # fewer than twice the leaves
+        found = grown.join(F.broadcast(chosen), ["node", "at"]).select("node", "at", "centre").toArrow()
+        for n, at, centre in zip(*(found[c].to_pylist() for c in ("node", "at", "centre"))):
+            tree.centres[number[n, at]] = np.frombuffer(centre, np.float32)
+    return tree
+
+
 def cluster(docs: DataFrame, branches: int, leaves: int, seed: int) -> Clusters:
     """Bisecting k-means over the word vectors of `docs` (doc_id, words)."""
-    sample = docs.select("doc_id", "words").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SEEDS).toArrow().combine_chunks()
-    dims, lengths = _lists(sample["words"].chunk(0)) if len(sample) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     plain = np.ones(DIMENSIONS)
-    found = Clusters(seed_tree(dims, lengths, plain, None, 1, branches, seed), plain)
+
+    def together(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        dims, lengths = _lists(batch.column("words"))
+        return np.zeros(len(lengths), dtype=np.int64), dims, lengths
+
+    found = Clusters(grow(docs, together, plain[None], 1, branches, seed), plain)
     kinds = len(found.branches.leaves())
 
     def branch_sums(batch: pa.RecordBatch, total: np.ndarray) -> None:
@@ -397,9 +572,11 @@ def cluster(docs: DataFrame, branches: int, leaves: int, seed: int) -> Clusters:
     frequency, size = sums[1], np.maximum(sums[2, :, :1], 1)
     rare = (frequency > 0) & (frequency <= COMMON * size)
     found.weights = np.where(rare, np.log(size / np.maximum(frequency, 1)), 0.0)
-    owner, at, values = _vectors(dims, lengths, plain, None)
-    branch = found.branch(found.branches.descend(np.zeros(len(lengths), dtype=np.int64), owner, at, values))
-    tree = seed_tree(dims, lengths, found.weights, branch, kinds, leaves, seed)
+
+    def by_branch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return found.place(batch)[0], *_lists(batch.column("words"))
+
+    tree = grow(docs, by_branch, found.weights, kinds, leaves, seed)
     found.leaves = tree
 
     def leaf_sums(batch: pa.RecordBatch, total: np.ndarray) -> None:

@@ -96,3 +96,18 @@ def test_leaves_with_two_subjects_have_two_parts():
     mixed = S.mixture(parts, held, size, share, share >= 0.6)
     part = mixed.assign(np.array([0, 1, 2, 4, 7]), np.array([2, 1, 0, 1, 1]))
     assert [mixed.subject[p] if p >= 0 else None for p in part] == [0, 1, None, 2, None]
+
+
+def test_every_document_takes_part_in_the_splits(spark, monkeypatch):
+    random.seed(3)
+    groups = [[random.sample(range(g * 50, g * 50 + 20), 8) for _ in range(40)] for g in range(6)]
+    docs = spark.createDataFrame([(i, d) for i, d in enumerate(d for g in groups for d in g)], "doc_id long, words array<int>").repartition(3)
+    monkeypatch.setattr(S, "SEEDS", 4, raising=False)  # a sample of so few would give no six leaves
+    for local in (1 << 15, 60):  # one task splits the whole; passes split nodes of more than 60
+        monkeypatch.setattr(S, "LOCAL", local)
+        tree = S.grow(docs, lambda b: (np.zeros(len(b), dtype=np.int64), *S._lists(b.column("words"))), np.ones((1, S.DIMENSIONS)), 1, 6, 1)
+        dims = np.array([d for g in groups for doc in g for d in doc])
+        leaf = tree.descend(np.zeros(240), *S._vectors(dims, np.full(240, 8), np.ones(S.DIMENSIONS), None)).reshape(6, 40)
+        assert all(len(set(of)) == 1 for of in leaf.tolist()) and len(set(leaf[:, 0])) == 6
+    found = S.cluster(docs, 1, 6, 1)
+    assert len(found.leaves.leaves()) == 6
